@@ -47,8 +47,9 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a shard before it is cut into parts.
 SHARD_LIMIT = 4096
-#: Mean fingerprints a shard should have at most (unless more runs are of no use).
-SHARD_MEAN = 16
+#: Runs beyond the radius.  With two, each fingerprint has comb(radius + 2, 2) shards, of which there
+#: are about 2**20; a third run suits tables of over a hundred million distinct fingerprints.
+SPARE = 2
 #: Shingles hashed before their bits are added up.
 STEP = 1 << 16
 
@@ -140,15 +141,6 @@ def runs_of(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def blocks_for(radius: int, distinct: int) -> int:
-    """Fewest runs whose shards have SHARD_MEAN of so many fingerprints on average."""
-    for blocks in range(radius + 1, radius + 5):
-        width = (BITS // blocks) * (blocks - radius)
-        if distinct <= SHARD_MEAN << width:
-            break
-    return blocks
-
-
 def _keys(values: np.ndarray, blocks: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each choice of agreeing runs its number and the fingerprints' bits there."""
     for number, chosen in enumerate(combinations(runs_of(blocks), blocks - radius)):
@@ -237,12 +229,11 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "row_id long, doc_id long, fp long")
 
 
-def groups(docs: DataFrame, words: int = 4, radius: int = 4, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+def groups(docs: DataFrame, words: int = 4, radius: int = 4, spare: int = SPARE, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """row_id, doc_id, fp and component_id (the group's smallest doc_id) of every row."""
     rows = durable(fingerprints(docs, words), "simhash")
     prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    blocks = blocks_for(radius, prints.count())
-    roots = durable(components(links(prints, radius, blocks, shard_limit)), "roots")
+    roots = durable(components(links(prints, radius, radius + spare, shard_limit)), "roots")
     # only fingerprints with a link are in roots; the others are groups of their own
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
