@@ -42,16 +42,16 @@ def _div(a: Column, b: Column) -> Column:
 def q9(num: Column, den: Column) -> Column:
     """num/den rounded half-even to nine places, times 10**9, as an integer.
 
-    Exact on integers: the quotient of (2 num 10**9 + den) by 2 den rounds halves
-    up, and an odd result of a tie steps back.  The decimals hold every product.
+    Long division of whole numbers, three digits at a time, so nothing is ever
+    a float; the denominator must be below 9.2e15.
     """
-    a = F.abs(num).cast("decimal(19,0)") * F.lit(2 * 10**9).cast("decimal(11,0)")
-    b = F.abs(den).cast("decimal(19,0)")
-    b2 = (b * 2).cast("decimal(21,0)")
-    raised = (a + b).cast("decimal(31,0)")
-    up = _div(raised, b2).cast("long")
-    tie = F.call_function("mod", raised, b2) == 0
-    return F.when((num < 0) != (den < 0), F.lit(-1)).otherwise(F.lit(1)).cast("long") * (up - (tie & (up % 2 == 1)).cast("long"))
+    a, b = F.abs(num).cast("long"), F.abs(den).cast("long")
+    out, rest = _div(a, b), F.call_function("mod", a, b)
+    for _ in range(3):
+        out = out * 1000 + _div(rest * 1000, b)
+        rest = F.call_function("mod", rest * 1000, b)
+    up = (2 * rest > b) | ((2 * rest == b) & (out % 2 == 1))
+    return F.signum(num).cast("long") * F.signum(den).cast("long") * (out + up.cast("long"))
 
 
 def sign9(num: Column, den: Column) -> Column:

@@ -127,5 +127,5 @@ def grid(signatures: DataFrame, columns: list[str]) -> DataFrame:
     by = signatures.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     one = by.select(F.struct(*columns).alias("a"), F.col("n").alias("na"))
     two = by.select(F.struct(*columns).alias("b"), F.col("n").alias("nb"))
-    pairs = one.join(F.broadcast(two))  # bounded by the number of distinct criteria
+    pairs = one.repartition(F.col("a")).join(F.broadcast(two))  # bounded by the number of distinct criteria
     return decide(pairs).groupBy("outcome").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))

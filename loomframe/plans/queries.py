@@ -780,6 +780,60 @@ def dec_final(spark, sf_dir):
     return one("a").join(F.broadcast(one("b"))).join(F.broadcast(one("c"))).withColumn("final", decision.final(F.col("a"), F.col("b"), F.col("c")))  # nine rows each
 
 
+#: Values of the state grid in units of 1e-9 (fixed values): gains, shares of the gain, lower bounds,
+#: alarm rates with their censoring, gains in tracks.
+GRID = {
+    "d": [-30_000_000, -20_000_000, -19_999_999, -10_000_000, 0, 10_000_000, 19_999_999, 20_000_000, 30_000_000, 40_000_000, 200_000_000],
+    "s": [-1_000_000_000, 200_000_000, 200_000_001, 499_999_999, 500_000_000, 1_000_000_000],
+    "lb": [-10_000_000, 0, 1_000_000],
+    "p1": [(0, False, 0, False), (10, False, 0, False), (0, False, 5, False), (10, False, 8, False), (10, False, 9, False), (10, False, 10, False), (50, True, 50, True), (50, True, 40, False)],
+    "dp2": [-60_000_000, 0, 59_999_999, 60_000_000],
+}
+
+
+def grid_states(spark) -> DataFrame:
+    """Every combination of flags, gains, shares, bounds and rates: 1,824,768 fold states."""
+    rows = spark.range(8).select(*((F.floor(F.col("id") / k) % 2 == 1).alias(n) for n, k in (("collapse", 4), ("motion", 2), ("saturated", 1))))
+    each = lambda df, name, values: df.withColumn(name, F.explode(F.array(*(F.lit(v).cast("long") for v in values))))
+    for name, values in (("d", GRID["d"]), ("s2", GRID["s"]), ("sr", GRID["s"]), ("sl", GRID["s"]), ("lb9", GRID["lb"]), ("dp2", GRID["dp2"])):
+        rows = each(rows, name, values)
+    rates = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(p, ("a", "ac", "b", "bc"), strict=True))) for p in GRID["p1"]))
+    unit, fine = 10**9, 100
+    # gains of a share are multiples of 0.01, so products with shares are whole in units of 1e-11
+    wide = F.call_function("div", F.greatest("d", F.lit(20_000_000).cast("long")), F.lit(10_000_000).cast("long"))
+    v4 = (F.lit(400_000_000).cast("long") + F.col("d")) * fine
+    one = F.lit(1).cast("long")
+    return rows.repartition("d", "s2").withColumn("p1", F.explode(rates)).select(
+        "collapse", "motion", "saturated", "lb9", "d", F.lit(unit * fine).cast("long").alias("P3_den"), F.lit(400_000_000 * fine).cast("long").alias("P3_V1"), v4.alias("P3_V4"),
+        *((v4 - F.col(c) * wide).alias(f"P3_{n}") for c, n in (("s2", "V2"), ("sr", "REV"), ("sl", "LAG"))),
+        F.lit(unit).cast("long").alias("P2_den"), F.lit(unit // 2).cast("long").alias("P2_V1"), (F.lit(unit // 2).cast("long") + F.col("dp2")).alias("P2_V4"),
+        F.col("p1.a").cast("long").alias("P1_V1_num"), one.alias("P1_V1_den"), F.col("p1.ac").alias("P1_V1_censored"),
+        F.col("p1.b").cast("long").alias("P1_V4_num"), one.alias("P1_V4_den"), F.col("p1.bc").alias("P1_V4_censored"),
+    )
+
+
+def _grid_sql() -> str:
+    """States with the criteria written out; every share is exact at nine places."""
+    one = lambda name, values: f"(SELECT unnest({values}) AS {name})"
+    rates = ", ".join(f"({a}, {str(x).lower()}, {b}, {str(y).lower()})" for a, x, b, y in GRID["p1"])
+    return f"""WITH d AS (SELECT *, CASE WHEN f >= 4 THEN 'collapse' WHEN f >= 2 THEN 'motion' WHEN f >= 1 THEN 'saturated' ELSE 'valid' END AS valid,
+  CASE WHEN g <= -20000000 THEN 'harm' WHEN g >= 20000000 THEN 'positive' ELSE 'null' END AS band
+  FROM range(0, 8) AS fl(f), {one("g", GRID["d"])}, {one("s2", GRID["s"])}, {one("sr", GRID["s"])}, {one("sl", GRID["s"])}, {one("lb", GRID["lb"])}, {one("p2", GRID["dp2"])}, (VALUES {rates}) AS r(a, ac, b, bc)),
+m AS (SELECT *, least(s2, sr, sl) AS low, least(s2, sr, sl)::HUGEINT * g AS margin FROM d),
+f AS (SELECT *, CASE WHEN band <> 'positive' THEN NULL WHEN low <= 200000000 THEN 'fail' WHEN low >= 500000000 AND (2 * margin + 1000000000) // 2000000000 >= 20000000 THEN 'pass' ELSE 'between' END AS c4,
+  CASE WHEN a = 0 AND b = 0 THEN 'nonevaluable' WHEN a = 0 THEN 'fail' WHEN ac AND bc THEN 'nonevaluable' WHEN 10 * b <= 8 * a THEN 'pass' WHEN 100 * b > 95 * a THEN 'fail' ELSE 'between' END AS c1,
+  p2 >= 60000000 AS c2, sign(g)::INT AS sign_p3, sign(p2)::INT AS sign_p2, sign(a - b)::INT AS sign_p1, lb > 0 AS lbp FROM m)"""
+
+
+OUTCOME_SQL = ORACLES["dec_outcome_grid"][len(STATES_SQL) :]
+
+
+@query("", _grid_sql() + OUTCOME_SQL)
+def gen_decision_grid(spark, sf_dir):
+    """Outcomes of all ordered pairs of the 1,824,768 fold states."""
+    return decision.grid(decision.fold_criteria(grid_states(spark)), CRITERIA)
+
+
 # -- the specification's sensitivity analyses
 
 
