@@ -125,7 +125,7 @@ def coreset(features: DataFrame, share: float = 0.01, seed: int = 0, per_task: i
     chosen = rows.groupBy("part").applyInPandas(choose(-(-size // parts) if parts == 1 else -(-2 * size // parts)), schema)
     if parts == 1:
         return chosen
-    return chosen.groupBy(F.lit(0)).applyInPandas(choose(size), schema)
+    return chosen.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(choose(size), schema)
 
 
 def relative_error(pairs: DataFrame) -> DataFrame:
