@@ -117,6 +117,12 @@ def final(first: Column, second: Column, third: Column) -> Column:
     return F.when(first.isin("A", "B", "Bstar"), worst).otherwise(first)
 
 
+def oracle_share9(rows: DataFrame) -> DataFrame:
+    """Adds the share of the gain that exact motion would add: (P3 of ORA - P3 of V4) / gain, null without a gain."""
+    gain = F.col("P3_V4") - F.col("P3_V1")
+    return rows.withColumn("oracle_share9", F.when(q9(gain, F.col("P3_den")) >= BAND, q9(F.col("P3_ORA") - F.col("P3_V4"), F.when(gain != 0, gain))))
+
+
 def grid(signatures: DataFrame, columns: list[str]) -> DataFrame:
     """Outcome counts over all ordered pairs of fold states.
 

@@ -121,6 +121,15 @@ def deployment_threshold(steps: DataFrame, normal: DataFrame, keys: list[str] |
     return rows.where(F.lit(per) * F.col("E") <= F.lit(most) * F.col("n")).groupBy(*keys).agg(F.min("tau").alias("threshold"), F.max("E").alias("events"))
 
 
+def at_threshold(frames: DataFrame, windows: DataFrame, tau) -> DataFrame:
+    """One row: events, passes and tracks found at a threshold, and the totals they are shares of."""
+    runs = events.runs_at(frames, tau)
+    found = pass_scores(frames, windows).where(F.col("q") >= tau)
+    a = runs.agg(F.coalesce(F.sum(events.events_of(runs)), F.lit(0)).cast("long").alias("events"))
+    b = found.agg(F.count(F.lit(1)).alias("passes"), F.countDistinct("track").alias("tracks"))
+    return a.join(F.broadcast(b)).join(F.broadcast(sizes(frames, windows)))  # one row each
+
+
 def ranking_quality(frames: DataFrame) -> DataFrame:
     """Frame AUROC (ties by average rank) and AUPRC of score against ``positive``.
 

@@ -925,9 +925,8 @@ def gen_null_traces(spark, sf_dir):
 
 @query()
 def gen_motion_calibration(spark, sf_dir):
-    made = synth.motion_traces(spark, 4, 400)
-    flags = motion.consistency(made)
-    return synth.pooled(flags, ["family"])
+    """Criteria of the two-frame motion rule on synthetic traces."""
+    return synth.motion_criteria(synth.motion_calibration(durable(synth.motion_traces(spark, 8), "motion-traces")))
 
 
 @query("timeline", "SELECT scenario, CAST(frame AS BIGINT) AS frame, round(avg(score) OVER (PARTITION BY scenario ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 6) AS v FROM timeline")
@@ -956,3 +955,60 @@ def str_causal_scores(spark, sf_dir):
     run.awaitTermination()
     out = spark.read.parquet(f"{top}/out")
     return out.select("scenario", "frame", "status", "dx_used", "k_full", F.col("K").alias("k_used"), F.col("V0").alias("v0"), F.round("V1", 6).alias("v1"))
+
+
+# -- acceptance checks and reports
+
+
+@query("cells", """SELECT 0 AS scenario, CAST(f.frame AS INTEGER) AS frame, CAST(f.u AS INTEGER) AS u, coalesce(max(x.ef) < max(x.er), false) AS holds, round(max(x.ef), 9) AS forward, round(max(x.er), 9) AS backward
+FROM (SELECT DISTINCT frame, frame % 4 + 1 AS u FROM cells WHERE frame > 1) f LEFT JOIN (
+SELECT a.frame, avg((a.value - p.value) ** 2) AS ef, avg((a.value - m.value) ** 2) AS er FROM cells a
+JOIN cells p ON p.frame = a.frame - 1 AND p."row" = a."row" AND p.col = a.col + (a.frame % 4 + 1)
+JOIN cells m ON m.frame = a.frame - 1 AND m."row" = a."row" AND m.col = a.col - (a.frame % 4 + 1)
+GROUP BY a.frame) x ON x.frame = f.frame WHERE f.u < 4 GROUP BY f.frame, f.u""")
+def acc_direction_check(spark, sf_dir):
+    from loomframe.operators import acceptance
+
+    rows = maps(spark, sf_dir)
+    pairs = rows.where("frame > 1").select("scenario", "frame", (F.pmod("frame", F.lit(4)) + 1).cast("int").alias("u")).where("u < 4")
+    got = acceptance.direction_check(pairs, rows, 8, 8)
+    return got.select("scenario", "frame", "u", "holds", F.round("forward", 9).alias("forward"), F.round("backward", 9).alias("backward"))
+
+
+@query("", "SELECT round(max(e) / max(m), 9) AS rel FROM (SELECT list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x * 0.001))) AS e, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)")
+def acc_array_error(spark, sf_dir):
+    from loomframe.operators import acceptance
+
+    v = T.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    other = v.withColumn("x", F.transform("x", lambda x: x + x * 0.001))
+    return acceptance.array_error(other, v, ["vec_id"], "x").select(F.round("rel", 9).alias("rel"))
+
+
+@query("", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 9 = 0) AS different FROM embeddings")
+def acc_identical(spark, sf_dir):
+    from loomframe.operators import acceptance
+
+    v = T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = v.withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x + F.lit(0.5))).otherwise(F.col("embedding")))
+    return acceptance.identical(v, other.withColumn("embedding", F.col("embedding").cast("array<float>")), ["vec_id"], "embedding")
+
+
+@query("", "SELECT o_orderpriority AS module, count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
+def agg_status_rollup(spark, sf_dir):
+    from loomframe.operators import acceptance
+
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("module"), F.col("o_orderstatus").alias("status"))
+    return acceptance.status_rollup(o, ("O", "F", "P"))
+
+
+@query("counted qs total", "SELECT max(C) FILTER (WHERE tau = 40) AS events, (SELECT count(*) FROM qs WHERE q >= 40) AS passes, (SELECT count(DISTINCT track) FROM qs WHERE q >= 40) AS tracks, any_value(nN) AS \"nN\", any_value(nP) AS \"nP\", any_value(nK) AS \"nK\" FROM counted, total")
+def spc_deployment_table(spark, sf_dir):
+    frames, w = layout(spark, sf_dir)
+    return metrics.at_threshold(coarse(frames), w, 40.0)
+
+
+@query("", STATES_SQL.split("e AS (SELECT", 1)[0].rstrip(", \n") + " SELECT l_orderkey, l_linenumber, CASE WHEN g >= 20 THEN CAST(round(1000000000::DOUBLE * (n // 43 % 40 - 10) / g) AS BIGINT) END AS share9 FROM d")
+def spc_oracle_share(spark, sf_dir):
+    n = F.col("l_orderkey") * 7 + F.col("l_linenumber")
+    rows = fold_states(spark, sf_dir).withColumn("P3_ORA", F.col("P3_V4") + F.pmod(F.floor(n / 43), F.lit(40)) - 10)
+    return decision.oracle_share9(rows).select("l_orderkey", "l_linenumber", F.col("oracle_share9").alias("share9"))
