@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import fresh
-from loomframe.session import durable
+from loomframe.session import durable, release
 
 #: Moduli and bases of the two polynomials (fixed values; any primes below 2**31 do).
 PRIMES = (2147483647, 2147483629)
@@ -169,12 +169,14 @@ def equal_groups(docs: DataFrame, keys: DataFrame, chunk: int = CHUNK, per_salt:
         groups = groups.select(*on, F.col("first.row_id").alias("group_id"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
         members = pending.join(groups, on).select("row_id", *on, "doc_id", "group_id", "salts")
         body = texts.join(members.select("row_id", "group_id", "salts"), "row_id").select("row_id", "group_id", "salts", F.explode(chunks(clean_text(), chunk)).alias("c"))
-        body = body.select("row_id", "group_id", "salts", F.col("c.idx").alias("idx"), F.col("c.chunk").alias("chunk"))
+        # written once, so that the texts are dealt out once for both sides of the comparison
+        body = durable(body.select("row_id", "group_id", "salts", F.col("c.idx").alias("idx"), F.col("c.chunk").alias("chunk")), "exact-body")
         heads = body.where("row_id = group_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         heads = heads.select("group_id", "salt", "idx", F.col("chunk").alias("head"))
         tails = body.where("row_id != group_id").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int"))
         compared = tails.join(heads, ["group_id", "salt", "idx"], "left").groupBy("row_id", "group_id").agg(F.min((F.col("chunk") == F.coalesce(F.col("head"), F.lit(b"")))).alias("same"))
         compared = durable(compared, "exact-compared")
+        release(body)
         equal = compared.where("same").select("row_id", "group_id")
         found = equal if found is None else found.unionByName(equal)
         if compared.where("not same").isEmpty():
