@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.session import durable, release
+
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TOXIC, MAX_OTHER = 6000, 12000
 #: Learned tokens, at most.
@@ -165,6 +167,14 @@ def log_odds(y1: float, y0: float, n1: float, n0: float) -> tuple[float, float]:
     return value, value / math.sqrt(1 / p + 1 / q)
 
 
+def significant(y1: Column, y0: Column, n1: int, n0: int) -> Column:
+    """Whether a token's log-odds are large and significant, as ``log_odds`` has them (with some slack)."""
+    a, a0 = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
+    p, q = y1 + a, y0 + a
+    value = F.log(p / F.greatest(n1 + a0 - p, F.lit(1.0))) - F.log(q / F.greatest(n0 + a0 - q, F.lit(1.0)))
+    return (y1 > 0) & (value >= LEAST_ODDS - 1e-6) & (value >= (LEAST_Z - 1e-6) * F.sqrt(1 / p + 1 / q))
+
+
 def decay(scores: list[tuple[float, float]], drift: float = DRIFT) -> float:
     """lambda with E[exp(lambda s)] = 1, where ``scores`` are (probability, score) of learned words."""
     rest = max(0.0, 1 - sum(p for p, _ in scores))
@@ -224,9 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
     counted = rows.select((F.col("toxic") + 2 * (F.col("fold") == 3).cast("int")).alias("kind"), "text").mapInArrow(_counts, "token string, kind int, n long")
     part = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
     table = counted.groupBy("token").agg(part(1, 3).alias("y1"), part(0, 2).alias("y0"), part(1).alias("first1"), part(0).alias("first0"))
-    top = table.where("y1 >= 3 or token = ''").withColumn("ratio", (F.col("y1") + 1) / (F.col("y0") + 1)).orderBy(F.col("token") != "", F.desc("ratio"), F.desc("y1"), "token").limit(max_tokens + 1).collect()
-    if not top or top[0]["token"] != "" or not top[0]["y1"] or not top[0]["y0"]:
+    table = durable(table.where("y1 >= 3 or token = ''"), "tokens")
+    totals = table.where("token = ''").first()
+    if totals is None or not totals["y1"] or not totals["y0"]:
         return Model()
+    # only significant tokens, which are few, come to the driver
+    useful = significant(F.col("y1"), F.col("y0"), totals["y1"], totals["y0"])
+    if totals["first1"] and totals["first0"]:
+        useful = useful | significant(F.col("first1"), F.col("first0"), totals["first1"], totals["first0"])
+    ratio = (F.col("y1") + 1) / (F.col("y0") + 1)
+    top = [totals, *table.where((F.col("token") != "") & useful).orderBy(F.desc(ratio), F.desc("y1"), "token").limit(max_tokens).collect()]
+    release(table)
     whole = learned([(r["token"], r["y1"], r["y0"]) for r in top])
     model = learned([(r["token"], r["first1"], r["first0"]) for r in top])
     if not model.scores:
