@@ -10,8 +10,8 @@ by their counts and dealt out by a random key, which shuffles them globally.
 Cases: a null source is the source ``""``; null and empty texts weigh one byte
 so that they can be drawn; repeated rows of one doc_id draw the same count; a
 null doc_id is replaced by a digest of the text; an empty table gives an empty
-one.  Other columns are carried through; the operator's own columns are called
-``mix_copy``, ``mix_key``, ``mix_u`` and ``mix_cdf``; input columns of these names are replaced.
+one.  Other columns are carried through, whatever their names; the two columns
+that are added get underscores in front if their names are taken.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.llm.common import fresh
+
 #: Uniform numbers have this many hexadecimal digits (52 bits, exact in a double).
 DIGITS = 13
 #: Poisson terms beyond this count are below 1e-16 for every rate up to MAX_RATE.
@@ -85,16 +87,16 @@ def mix(docs: DataFrame, weights: dict[str, float], budget: float = 1.0, seed: i
     steps = cdf(found.get(None, 0.0))
     for s in sorted(x for x in found if x is not None):
         steps = F.when(source == F.lit(s), cdf(found[s])).otherwise(steps)
+    copy, order, u, table = (fresh(docs, n) for n in ("mix_copy", "mix_key", "mix_u", "mix_cdf"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    names = [c for c in docs.columns if c not in ("mix_copy", "mix_key", "mix_u", "mix_cdf")]
-    key = F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.col("mix_copy").cast("string")))
+    key = F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.col(copy).cast("string")))
     # the count is the k with cdf(k-1) <= u < cdf(k): a copy for each step at or below u
-    copies = F.transform(F.filter(F.col("mix_cdf"), lambda c: F.col("mix_u") >= c), lambda c, i: i)
+    copies = F.transform(F.filter(F.col(table), lambda c: F.col(u) >= c), lambda c, i: i)
     return (
-        docs.select(*names, uniform(docs, seed).alias("mix_u"), steps.alias("mix_cdf"))
-        .withColumn("mix_copy", F.explode(copies))
-        .withColumn("mix_key", key)
-        .select(*names, "mix_copy", "mix_key")
-        .repartition(F.col("mix_key"))
-        .sortWithinPartitions("mix_key")
+        docs.select(*docs.columns, uniform(docs, seed).alias(u), steps.alias(table))
+        .withColumn(copy, F.explode(copies))
+        .withColumn(order, key)
+        .drop(u, table)
+        .repartition(F.col(order))
+        .sortWithinPartitions(order)
     )
