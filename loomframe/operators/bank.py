@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.greedy import spaced_places
+
 
 def capacity(eligible: DataFrame) -> DataFrame:
-    """(scenario, frame, c): frames taken in order, each at least ``spacing`` after the last one taken.
+    """(scenario, frame, c): frames taken in order, each at least ``spacing`` after the last one taken."""
+    kind = dict(eligible.dtypes)["scenario"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = np.sort(pdf["frame"].to_numpy())
+        taken = frames[spaced_places(frames, int(pdf["spacing"].iloc[0]))]
+        return pd.DataFrame({"scenario": pdf["scenario"].iloc[0], "frame": taken, "c": np.arange(len(taken))})
 
-    A fold over each scenario's sorted frames (bounded by the scenario).
-    """
-    rows = eligible.groupBy("scenario").agg(F.sort_array(F.collect_list("frame")).alias("f"), F.first("spacing").alias("p"))
-    take = lambda acc, x: F.when(x >= acc["last"] + F.col("p"), F.struct(x.alias("last"), F.array_append(acc["out"], x).alias("out"))).otherwise(acc)
-    start = F.struct(F.element_at("f", 1).alias("last"), F.slice("f", 1, 1).alias("out"))
-    taken = F.aggregate(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(1))), start, take, lambda a: a["out"])
-    return rows.select("scenario", F.posexplode(taken).alias("c", "frame"))
+    return eligible.select("scenario", "frame", "spacing").groupBy("scenario").applyInPandas(run, f"scenario {kind}, frame int, c int")
 
 
 def waterfill(total: int, capacities: dict[str, int]) -> dict[str, int]:
@@ -33,8 +37,6 @@ def waterfill(total: int, capacities: dict[str, int]) -> dict[str, int]:
 
 def allocate(capacities: DataFrame, total: int) -> DataFrame:
     """(group, scenario, quota) of (group, scenario, capacity): a task fills one group's few scenarios."""
-    import pandas as pd
-
     kinds = dict(capacities.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

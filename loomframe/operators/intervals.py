@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.greedy import spaced_places
 from loomframe.sources.timeline import ANCHORS, NORMAL
 
 
@@ -81,16 +84,20 @@ def eligible(frames: DataFrame, defects: DataFrame, margin: Column) -> DataFrame
 def anchors(frames: DataFrame, period: Column, labels: tuple[int, ...] = ANCHORS) -> DataFrame:
     """Run starts of anchor labels that are at least half a period after the last one taken.
 
-    Whether a start is taken depends on the last one taken: a fold over the
-    scenario's sorted starts, which are few (one for each run).
+    Run starts are found by a window function; which of them count depends on
+    the last one taken, so a task walks through one scenario's starts.
     """
+    kind = dict(frames.dtypes)["scenario"]
     w = Window.partitionBy("scenario").orderBy("frame")
     hit = F.col("label").isin(*labels)
     rows = frames.withColumn("_p", period).withColumn("_h", hit).withColumn("_b", F.coalesce(F.lag("_h").over(w), F.lit(False)))
-    starts = rows.where("_h and not _b").groupBy("scenario").agg(F.sort_array(F.collect_list("frame")).alias("a"), F.first("_p").alias("p"))
-    keep = lambda acc, a: F.when((F.size(acc) == 0) | (2 * (a - F.element_at(acc, -1)) >= F.col("p")), F.array_append(acc, a)).otherwise(acc)
-    taken = F.aggregate(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(1))), F.slice("a", 1, 1), keep)
-    return starts.select("scenario", F.explode(taken).alias("anchor"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        starts = np.sort(pdf["frame"].to_numpy())
+        return pd.DataFrame({"scenario": pdf["scenario"].iloc[0], "anchor": starts[spaced_places(2 * starts, pdf["period"].iloc[0])]})
+
+    starts = rows.where("_h and not _b").select("scenario", "frame", F.col("_p").alias("period"))
+    return starts.groupBy("scenario").applyInPandas(run, f"scenario {kind}, anchor int")
 
 
 def phases(frames: DataFrame, anchors_: DataFrame, period: Column, bin_width: int = 50) -> DataFrame:

@@ -603,10 +603,12 @@ def srt_spaced_pick(spark, sf_dir):
     return bank.spaced(bank.capacity(normal_frames(spark, sf_dir)), quotas)
 
 
-@query()
+@query("timeline", BANK_PARTS + """, sizes AS (SELECT scenario, count(*) AS n FROM taken GROUP BY scenario)
+SELECT CASE WHEN t.scenario % 2 = 0 THEN 'even' ELSE 'odd' END AS "group", t.scenario, j, t.frame FROM sizes s, range(0, 8) AS g(j) JOIN taken t ON t.scenario = s.scenario AND t.c = ((2 * j + 1) * s.n) // 16""")
 def srt_bank_build(spark, sf_dir):
+    """Sixteen frames for each of two groups; all capacities are over eight, so shares are equal."""
     groups = spark.createDataFrame([("even", 0), ("odd", 1), ("even", 2), ("odd", 3)], "`group` string, scenario int")
-    return bank.build(normal_frames(spark, sf_dir), groups, 40)
+    return bank.build(normal_frames(spark, sf_dir), groups, 16)
 
 
 @query("walk", """SELECT scenario, CAST(unnest(range(a, a + 12)) AS INTEGER) AS frame FROM (SELECT scenario, min(frame) AS a, count(*) AS n FROM (
@@ -886,16 +888,19 @@ def spc_fixed_lengths(spark, sf_dir):
     return T.timeline(spark, sf_dir).select("scenario", "frame", *(F.least(F.lit(k), "frame").alias(f"k{k}") for k in (5, 10, 20)))
 
 
-@query()
+@query("held", """, v AS (SELECT scenario, win, track, score, avg(score) OVER (PARTITION BY scenario ORDER BY frame ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS v1 FROM held),
+z AS (SELECT track, max(score) >= 60 AS a, max(v1) >= 30 AS b FROM v WHERE win IS NOT NULL GROUP BY track),
+n AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS b, count(*) FILTER (WHERE b AND NOT a) AS c FROM z)
+SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(gamma(b + c + 1.0) / gamma(i + 1.0) / gamma(b + c - i + 1.0)) FROM range(greatest(b, c), b + c + 1) AS r(i)) / power(2.0::DOUBLE, b + c)) END, 9) AS p FROM n""")
 def spc_mcnemar(spark, sf_dir):
-    """Exact test of the tracks found by the score and by its trailing mean at one threshold."""
+    """Exact test of the tracks found by the score at 60 and by its trailing mean at 30."""
     frames, w = layout(spark, sf_dir)
     rows = temporal.trailing_mean(frames.withColumn("K", F.least(F.lit(7), "frame")))
     a = metrics.track_scores(metrics.pass_scores(rows, w)).withColumnRenamed("z", "za")
     b = metrics.track_scores(metrics.pass_scores(rows.withColumn("score", F.col("V1")), w)).withColumnRenamed("z", "zb")
-    both = a.join(b, "track").agg(F.count_if((F.col("za") >= 60) & (F.col("zb") < 60)).alias("b"), F.count_if((F.col("za") < 60) & (F.col("zb") >= 60)).alias("c"))
+    both = a.join(b, "track").agg(F.count_if((F.col("za") >= 60) & (F.col("zb") < 30)).alias("b"), F.count_if((F.col("za") < 60) & (F.col("zb") >= 30)).alias("c"))
     test = F.udf(lambda x, y: inference.mcnemar(x, y), "double")  # one row
-    return both.withColumn("p", test("b", "c"))
+    return both.withColumn("p", F.round(test("b", "c"), 9))
 
 
 @query()
