@@ -17,6 +17,11 @@ strangers.  A shard emits a forest of links (fewer than its nodes), never all
 its pairs.  Shards over ``shard_limit`` fingerprints are cut into parts and
 each pair of parts is a shard of its own, so no task holds an unbounded one.
 
+For more recall than one fingerprint has at a radius that shards well, a text can
+have several, made of the same shingles with other hashes.  Two texts are then
+linked when any of them differ in at most ``radius`` bits and the next one in at
+most ``second_radius``, which unrelated texts that meet by chance don't pass.
+
 Trees are not broadcast, as their total grows with the corpus: queries and
 tree meet by the shard's key instead, and a shard's size is bounded.
 
@@ -50,37 +55,58 @@ SHARD_LIMIT = 4096
 #: Runs beyond the radius.  With two, each fingerprint has comb(radius + 2, 2) shards, of which there
 #: are about 2**20; a third run suits tables of over a hundred million distinct fingerprints.
 SPARE = 2
+#: One in so many fingerprints is counted to find large shards.
+SAMPLED = 16
 #: Shingles hashed before their bits are added up.
 STEP = 1 << 16
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the text's word shingles, as an unsigned integer."""
+def other_hash(h: np.ndarray) -> np.ndarray:
+    """Another hash from a hash (the finaliser of splitmix64)."""
+    z = h + np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set."""
+    return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int, prints: int = 1) -> list[int]:
+    """SimHashes of the text's word shingles as unsigned integers; the first is of XXH64 itself."""
     tokens = text.translate(LOWER).split()
     if not tokens:
-        return 0
+        return [0] * prints
     joined = b" ".join(tokens)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(sizes + 1) - 1
     n = max(1, len(tokens) - words + 1)
     starts = (ends - sizes)[:n].tolist()
     stops = ends[-n:].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((prints, BITS), np.int64)
     for at in range(0, n, STEP):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + STEP], stops[at : at + STEP], strict=True)], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        for k in range(prints):
+            ones[k] += _ones(h)
+            h = other_hash(h) if k + 1 < prints else h
+    return [_majority(o, n) for o in ones]
 
 
 class Tree:
     """BK-tree over the fingerprints of a shard that links each new one to its group.
 
-    Nodes are lists [fingerprint, index, children, uniform]; ``uniform`` is an
-    index whose group holds everything below the node, or -1.
+    Nodes are lists [fingerprint, index, children, uniform, second fingerprint, name];
+    ``uniform`` is an index whose group holds everything below the node, or -1.
     """
 
-    def __init__(self, radius: int):
-        self.radius, self.root, self.parent = radius, None, []
+    def __init__(self, radius: int, second_radius: int = BITS):
+        self.radius, self.second_radius, self.root, self.parent = radius, second_radius, None, []
 
     def find(self, i: int) -> int:
         parent = self.parent
@@ -89,26 +115,26 @@ class Tree:
             i = parent[i]
         return i
 
-    def add(self, value: int) -> list[int]:
-        """Insert and return the values, one for each other group, that it links to."""
+    def add(self, value: int, second: int = 0, name: int = 0) -> list[int]:
+        """Insert and return the names of the nodes, one for each other group, that it links to."""
         me = len(self.parent)
         self.parent.append(me)
         if self.root is None:
-            self.root = [value, me, {}, me]
+            self.root = [value, me, {}, me, second, name]
             return []
-        radius, found, group = self.radius, [], me
+        radius, second_radius, found, group = self.radius, self.second_radius, [], me
         todo = [self.root]
         while todo:
             node = todo.pop()
             if node[3] >= 0 and self.find(node[3]) == group:
                 continue
             d = (node[0] ^ value).bit_count()
-            if d <= radius:
+            if d <= radius and (node[4] ^ second).bit_count() <= second_radius:
                 other = self.find(node[1])
                 if other != group:
                     self.parent[group] = other
                     group = other
-                    found.append(node[0])
+                    found.append(node[5])
             for edge, child in node[2].items():
                 if -radius <= edge - d <= radius:
                     todo.append(child)
@@ -118,7 +144,7 @@ class Tree:
             d = (node[0] ^ value).bit_count()
             child = node[2].get(d)
             if child is None:
-                node[2][d] = [value, me, {}, me]
+                node[2][d] = [value, me, {}, me, second, name]
                 break
             node = child
         for node in path:
@@ -148,37 +174,45 @@ def _keys(values: np.ndarray, blocks: int, radius: int) -> Iterator[tuple[int, n
         yield number, values & np.uint64(mask)
 
 
-def shard_rows(prints: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """(shard, bits, fp) of each distinct fingerprint in each of its shards."""
+def shard_rows(prints: DataFrame, count: int, blocks: int, radius: int) -> DataFrame:
+    """(shard, bits, fp, second, node) of each node in each shard of each of its fingerprints."""
+    names = ["shard", "bits", "fp", "second", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for number, bits in _keys(fp.view(np.uint64), blocks, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), number, np.int32)), pa.array(bits.view(np.int64)), pa.array(fp)], names=["shard", "bits", "fp"])
+            node, none = batch.column(0), pa.array(np.zeros(batch.num_rows, np.int64))
+            for k in range(count):
+                fp, second = batch.column(1 + k), batch.column(1 + (k + 1) % count) if count > 1 else none
+                for number, bits in _keys(fp.to_numpy(zero_copy_only=False).view(np.uint64), blocks, radius):
+                    shard = np.full(len(fp), k * comb(blocks, radius) + number, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(bits.view(np.int64)), fp, second, node], names=names)
+
+    return prints.select("node", *_columns(count)).mapInArrow(run, "shard int, bits long, fp long, second long, node long")
 
-    return prints.select("fp").mapInArrow(run, "shard int, bits long, fp long")
 
+def _columns(count: int) -> list[str]:
+    return [f"p{k}" for k in range(count)]
 
-def _forest(radius: int):
+
+def _forest(radius: int, second_radius: int):
     """Links of each run of rows with one key, in a partition sorted by key."""
 
     def links(values: np.ndarray, out: list[tuple[int, int]]) -> None:
         if len(values) == 2:
-            a, b = int(values[0]), int(values[1])
-            if a != b and (a ^ b).bit_count() <= radius:
-                out.append((a, b))
+            (a, x, u), (b, y, v) = values.tolist()
+            if (a ^ b).bit_count() <= radius and (x ^ y).bit_count() <= second_radius:
+                out.append((u, v))
             return
-        tree = Tree(radius)
-        for v in values.tolist():
-            out.extend((v, other) for other in tree.add(v))
+        tree = Tree(radius, second_radius)
+        for a, x, u in values.tolist():
+            out.extend((u, v) for v in tree.add(a, x, u))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = None, None
         out: list[tuple[int, int]] = []
         for batch in batches:
-            k = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
-            v = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            k, v = (np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in own], 1) for own in ((0, 1, 2), (3, 4, 5)))
+            v = v.view(np.uint64)
             if keys is not None:
                 k, v = np.concatenate([keys, k]), np.concatenate([held, v])
             if not len(v):
@@ -204,57 +238,68 @@ def _forest(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int, blocks: int, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """(u, v) pairs of distinct fingerprints that connect whatever lies within the radius."""
-    rows = shard_rows(prints, blocks, radius)
-    # A cut shard has over shard_limit rows, so this table has fewer than comb(blocks, radius) / shard_limit rows for each fingerprint.
-    large = rows.groupBy("shard", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_limit)
+def links(prints: DataFrame, count: int, radius: int, blocks: int, shard_limit: int = SHARD_LIMIT, second_radius: int = BITS) -> DataFrame:
+    """(u, v) pairs of nodes that connect whatever lies within the radius.
+
+    ``prints`` has node and its fingerprints p0, p1, ...  Large shards are found
+    by counting one in SAMPLED nodes; that only plans how a shard is cut, and
+    every node meets every other of its shard whether it is cut or not.
+    """
+    sampled = shard_rows(prints.where(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SAMPLED)) == 0), count, blocks, radius)
+    # a cut shard has many sampled rows, so this table is a small part of the sample
+    large = sampled.groupBy("shard", "bits").agg((F.count(F.lit(1)) * SAMPLED).alias("n")).where(F.col("n") > shard_limit)
     large = large.select("shard", "bits", F.ceil(F.col("n") / shard_limit).cast("int").alias("parts"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(o, mine) * F.col("parts") + F.greatest(o, mine))
-    dealt = rows.join(large, ["shard", "bits"], "left").select("shard", "bits", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(pair)).alias("part"), "fp")
+    rows = shard_rows(prints, count, blocks, radius).join(large, ["shard", "bits"], "left")
+    dealt = rows.select("shard", "bits", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(pair)).alias("part"), "fp", "second", "node")
     key = ["shard", "bits", "part"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_forest(radius), "u long, v long")
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_forest(radius, second_radius), "u long, v long")
 
 
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(row_id, doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, words: int, count: int = 1) -> DataFrame:
+    """row_id, doc_id and the fingerprints p0, p1, ... of every row."""
+    names = _columns(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py() or b"", words) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["row_id", "doc_id", "fp"])
+            got = np.array([fingerprint(t.as_py() or b"", words, count) for t in batch.column(2)], np.uint64).reshape(-1, count).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, k]) for k in range(count))], names=["row_id", "doc_id", *names])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "row_id long, doc_id long, fp long")
+    return rows.mapInArrow(run, "row_id long, doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def groups(docs: DataFrame, words: int = 4, radius: int = 4, spare: int = SPARE, shard_limit: int = SHARD_LIMIT) -> DataFrame:
-    """row_id, doc_id, fp and component_id (the group's smallest doc_id) of every row."""
-    rows = durable(fingerprints(docs, words), "simhash")
-    prints = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
-    roots = durable(components(links(prints, radius, radius + spare, shard_limit)), "roots")
-    # only fingerprints with a link are in roots; the others are groups of their own
-    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def groups(docs: DataFrame, words: int = 4, radius: int = 4, count: int = 1, second_radius: int = BITS, spare: int = SPARE, shard_limit: int = SHARD_LIMIT) -> DataFrame:
+    """row_id, doc_id, p0, component_id (the group's smallest doc_id) and root of every row.
+
+    A node is a distinct fingerprint, or list of ``count`` fingerprints.
+    """
+    names = _columns(count)
+    node = F.col("p0") if count == 1 else F.xxhash64(*names)
+    rows = durable(fingerprints(docs, words, count).withColumn("node", node), "simhash")
+    prints = durable(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(n).alias(n) for n in names)), "prints")
+    roots = durable(components(links(prints, count, radius, radius + spare, shard_limit, second_radius)), "roots")
+    # only nodes with a link are in roots; the others are groups of their own
+    rooted = prints.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(least, "root").select("fp", "component_id", "root")
-    return rows.join(by_print, "fp").select("row_id", "doc_id", "fp", "component_id", "root")
+    by_node = rooted.join(least, "root").select("node", "component_id", "root")
+    return rows.join(by_node, "node").select("row_id", "doc_id", "p0", "component_id", "root")
 
 
 def mark(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     found = groups(docs, words, radius)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
-    """The first row (by doc_id, null last) of each group, with all its columns."""
+def deduplicate(docs: DataFrame, words: int = 5, radius: int = 6, count: int = 4, second_radius: int = 14) -> DataFrame:
+    """The first row (by doc_id, null last) of each group, with all its columns.
+
+    On prose of 5 to 20,000 words the defaults find nine in ten of the documents
+    with a Jaccard similarity of their five-word shingles of 0.8 or more.
+    """
     row = fresh(docs, "row_id")
-    found = groups(docs, words, radius)
+    found = groups(docs, words, radius, count, second_radius)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("f"))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(first.select(F.col("f.row_id").alias(row)), row, "left_semi").drop(row)
-
-
-def table_count(blocks: int, radius: int) -> int:
-    """Shards that each fingerprint is dealt to."""
-    return comb(blocks, radius)
