@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,5 +158,33 @@ joined AS (SELECT s.*, b.mined_rule FROM split s LEFT JOIN best b ON s.rid = b.r
 SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, mined_rule FROM joined"""
 
 
+def _license_sql() -> str:
+    """Phrases by list comparison; the best window of every template by counting words from each start."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in licenses.PHRASES.items())
+    rows = []
+    for i, (text, label) in enumerate(licenses.TEMPLATES.items()):
+        own = sorted(set(text.split()))
+        rows.append(f"({i}, '{label}', {quoted(own)}, {len(own)}, {math.ceil(licenses.THRESHOLD * len(own) - 1e-9)}, {math.ceil(licenses.WIDTH * len(text.split()))})")
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+phrases(label, own) AS (VALUES {phrases}),
+templates(tid, label, own, n, need, width) AS (VALUES {", ".join(rows)}),
+u AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM texts),
+base AS (SELECT u.rid, u.i, p.label FROM u JOIN phrases p ON u.word = p.own[1] JOIN texts t ON t.rid = u.rid WHERE t.words[u.i + 1 : u.i + len(p.own)] = p.own),
+members AS (SELECT t.tid, unnest(t.own) AS word FROM templates t),
+held AS (SELECT u.rid, u.i, m.tid, u.word FROM u JOIN members m ON u.word = m.word),
+likely AS (SELECT h.rid, h.tid FROM held h GROUP BY h.rid, h.tid HAVING count(DISTINCT h.word) >= (SELECT need FROM templates t WHERE t.tid = h.tid)),
+near AS (SELECT h.* FROM held h SEMI JOIN likely USING (rid, tid)),
+windows AS (SELECT a.rid, a.tid, a.i, count(DISTINCT b.word) AS c FROM near a JOIN templates t ON t.tid = a.tid JOIN near b ON b.rid = a.rid AND b.tid = a.tid AND b.i BETWEEN a.i AND a.i + t.width - 1 GROUP BY a.rid, a.tid, a.i),
+found AS (SELECT w.rid, t.label, max(w.c / t.n::DOUBLE) AS share FROM windows w JOIN templates t ON t.tid = w.tid WHERE w.c >= t.need GROUP BY w.rid, t.label),
+b AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS names FROM base GROUP BY rid),
+f AS (SELECT rid, list(label) AS names, max(share) AS share FROM found GROUP BY rid)
+SELECT t.doc_id, len(t.words) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word, coalesce(array_to_string(b.names, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.names, []), coalesce(f.names, [])))), ','), '') AS labels,
+  CASE WHEN b.n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(f.share, 0.0::DOUBLE) END AS score
+FROM texts t LEFT JOIN b ON b.rid = t.rid LEFT JOIN f ON f.rid = t.rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _mix_sql(), "op4_url_rules": _url_sql(), "op8_exact_dedup": EXACT_SQL}
+    return {"op1_mix_sources": _mix_sql(), "op4_url_rules": _url_sql(), "op5_license_scan": _license_sql(), "op8_exact_dedup": EXACT_SQL}
