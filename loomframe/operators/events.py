@@ -59,18 +59,22 @@ def uncapped_steps(frames: DataFrame, gap: int = GAP) -> DataFrame:
     return up.unionAll(down).groupBy("tau").agg(F.sum("delta").alias("delta"))
 
 
-def segment_steps(frame: np.ndarray, score: np.ndarray, seg: np.ndarray, cap: int, gap: int, unit: np.ndarray | None = None) -> dict:
+def segment_steps(frame: np.ndarray, score: np.ndarray, seg: np.ndarray, cap: int, gap: int, unit: np.ndarray | None = None, most: int | None = None) -> dict:
     """Changes of the event count as the threshold falls, over normal frames of one scenario in order.
 
     Frames enter by falling score; the nearest alarm on either side within
     reach decides what they join (any further one is already linked to it).
     Returns {tau: change}, or {(tau, unit): change} with each event at the unit
-    of its first frame.
+    of its first frame.  With ``most`` the walk ends at the first threshold with
+    more events than that: counts of several scenarios only add up, so whatever
+    bounds their sum by ``most`` never looks below it.
     """
     n = len(frame)
-    f, s, g = frame.tolist(), score.tolist(), seg.tolist()
+    f, g = frame.tolist(), seg.tolist()
     u = dict(zip(f, unit.tolist(), strict=True)) if unit is not None else None
-    group, lo, hi, inside = list(range(n)), f[:], f[:], [False] * n
+    group: dict[int, int] = {}
+    lo: dict[int, int] = {}
+    hi: dict[int, int] = {}
     out: dict = {}
 
     def find(x: int) -> int:
@@ -82,33 +86,40 @@ def segment_steps(frame: np.ndarray, score: np.ndarray, seg: np.ndarray, cap: in
     def near(i: int, step: int) -> int:
         j = i + step
         while 0 <= j < n and g[j] == g[i] and abs(f[j] - f[i]) <= gap + 1:
-            if inside[j]:
+            if j in group:
                 return find(j)
             j += step
         return -1
 
-    def put(tau: float, root: int, sign: int) -> None:
+    def put(tau: float, root: int, sign: int) -> int:
         a, b = lo[root], hi[root]
+        size = (b - a + cap) // cap
         if u is None:
-            out[tau] = out.get(tau, 0) + sign * ((b - a + cap) // cap)
+            out[tau] = out.get(tau, 0) + sign * size
         else:
             for start in range(a, b + 1, cap):
                 key = (tau, u[start])
                 out[key] = out.get(key, 0) + sign
-
-    for i in np.argsort(-score, kind="stable").tolist():
-        tau, left, right = s[i], near(i, -1), near(i, 1)
-        inside[i] = True
+        return sign * size
+
+    total, before = 0, None
+    for i in np.argsort(-score, kind="stable"):
+        i, tau = int(i), float(score[i])
+        if most is not None and total > most and tau != before:
+            break
+        before = tau
+        left, right = near(i, -1), near(i, 1)
         out.setdefault(tau if u is None else (tau, u[f[i]]), 0)
         if left == right and left >= 0:
             group[i] = left
             continue
+        group[i], lo[i], hi[i] = i, f[i], f[i]
         for other in (left, right):
             if other >= 0:
-                put(tau, other, -1)
+                total += put(tau, other, -1)
                 group[other] = i
                 lo[i], hi[i] = min(lo[i], lo[other]), max(hi[i], hi[other])
-        put(tau, i, 1)
+        total += put(tau, i, 1)
     return out
 
 

@@ -59,17 +59,18 @@ def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None,
     return out.select(*keys, "j", "tau", "C", F.max("C").over(upto).alias("E"), "detp", "dett")
 
 
-def metrics(curve: DataFrame, sizes: DataFrame, keys: list[str] | None = None, cap: int = 50) -> DataFrame:
+def metrics(curve: DataFrame, sizes: DataFrame, keys: list[str] | None = None, cap: int = 50, small: bool = True) -> DataFrame:
     """P1, P2 and P3 as fractions, P1_censored and saturated.
 
     ``sizes`` has one row (for each key): nN normal frames, nP passes (or their
-    total weight) and nK tracks.  P1 is the alarm rate at the first threshold
+    total weight) and nK tracks; it is broadcast if ``small``.  P1 is the alarm rate at the first threshold
     that finds 4/5 of the passes; P2 the share of tracks found at the last one
     with at most 2 alarms per 1000 normal frames; P3 the mean share of passes
     found as the rate goes from 0 to 10 per 1000.
     """
     keys = keys or []
-    rows = curve.join(F.broadcast(sizes), keys) if keys else curve.join(F.broadcast(sizes))  # sizes: one row a key
+    one = F.broadcast(sizes) if small or not keys else sizes
+    rows = curve.join(one, keys) if keys else curve.join(one)
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("j")
     within = 100 * F.col("E") <= F.col("nN")
     nxt = F.lead("E").over(w)

@@ -662,6 +662,31 @@ def inf_collapse(spark, sf_dir):
     return inference.collapse(inference.permutation_null(frames, fixed_shifts(spark, 4), sizes), metrics.metrics(*curve_of(spark, sf_dir)), 2)
 
 
+@query()
+def inf_chance_null(spark, sf_dir):
+    """The whole null of 200 shifts with drawn offsets, and the collapse test, on unrounded scores."""
+    frames, w = layout(spark, sf_dir)
+    frames = durable(frames, "frames")
+    lengths_ = [r["n"] for r in frames.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()]  # one number a scenario
+    drawn = inference.offsets(lengths_, 0, 0)
+    by = spark.createDataFrame([(b, s, int(drawn[b, s])) for b in range(len(drawn)) for s in range(drawn.shape[1])], "b int, scenario int, d int")
+    w = durable(w, "windows")
+    sizes = durable(metrics.sizes(frames, w), "sizes")
+    null = inference.permutation_null(intervals.in_window(frames, w, "s", "track"), by, sizes)
+    return inference.collapse(null, metrics.evaluate(frames, w))
+
+
+@query()
+def gen_null_calibration(spark, sf_dir):
+    """Shifts of synthetic traces that do at least as well as the traces themselves, on the layout of the first frames."""
+    frames, w = layout(spark, sf_dir)
+    frames, w = frames.where("frame <= 250"), w.where("hi <= 250")
+    place = durable(intervals.in_window(frames, w, "s", "track").drop("score", "label", "dx", "dy", "r", "has_est"), "layout")
+    traces = synth.traces(spark, "N2_ar0.9", 6, [(s, 250, 40) for s in range(4)])
+    sizes = durable(metrics.sizes(frames, w), "sizes")
+    return inference.calibrate(traces, place, fixed_shifts(spark, 12), sizes)
+
+
 def bootstrap_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = coarse(phased(spark, sf_dir)).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int"))
     frames, w = layout(spark, sf_dir)
