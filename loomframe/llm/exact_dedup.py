@@ -166,7 +166,8 @@ def equal_groups(docs: DataFrame, keys: DataFrame, chunk: int = CHUNK, per_salt:
     pending, found = keys, None
     while True:
         groups = pending.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), first.alias("first")).where("n > 1")
-        groups = groups.select(*on, F.col("first.row_id").alias("group_id"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts"))
+        # written, so that the join below deals both sides anew and a large group's rows can be split
+        groups = durable(groups.select(*on, F.col("first.row_id").alias("group_id"), F.ceil(F.col("n") / per_salt).cast("int").alias("salts")), "exact-groups")
         members = pending.join(groups, on).select("row_id", *on, "doc_id", "group_id", "salts")
         body = texts.join(members.select("row_id", "group_id", "salts"), "row_id").select("row_id", "group_id", "salts", F.explode(chunks(clean_text(), chunk)).alias("c"))
         # written once, so that the texts are dealt out once for both sides of the comparison
@@ -189,8 +190,18 @@ def mark(docs: DataFrame, huge: int = HUGE, chunk: int = CHUNK) -> DataFrame:
     keys = durable(digests(docs, huge, chunk), "exact-digests")
     found = equal_groups(docs, keys.drop("text_sha256"), chunk)
     rows = keys.select("row_id", "doc_id", "text_sha256").join(found, "row_id", "left").withColumn("group_id", F.coalesce("group_id", "row_id"))
-    sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("keep_id"))
-    return rows.join(sizes, "group_id").select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row_id") == F.col("group_id")).alias("kept"), "text_sha256", "row_id")
+    # only groups with copies are counted; their table is written, so that a large group's rows can be split in the join
+    heads = found.groupBy("group_id").agg((F.count(F.lit(1)) + 1).alias("group_size")).join(keys.select(F.col("row_id").alias("group_id"), F.col("doc_id").alias("keep_id")), "group_id")
+    heads = durable(heads, "exact-heads")
+    several = F.col("group_size").isNotNull()
+    return rows.join(heads, "group_id", "left").select(
+        "doc_id",
+        F.when(several, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("row_id") == F.col("group_id")).alias("kept"),
+        "text_sha256",
+        "row_id",
+    )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
