@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.session import spread
+
 GAP, CAP = 2, 25
 #: Segments of a scenario that one task takes together.
 SEGMENTS = 64
@@ -143,7 +145,7 @@ def steps(frames: DataFrame, keys: list[str] | None = None, cap: int = CAP, gap:
 
     rows = frames.where("normal").withColumn("_block", F.floor(F.col("seg") / segments))
     rows = rows.select(*keys, "scenario", "frame", "score", "seg", "_block", *([unit] if unit else []))
-    got = rows.groupBy(*keys, "scenario", "_block").applyInPandas(run, schema)
+    got = spread(rows, *keys, "scenario", "_block").groupBy(*keys, "scenario", "_block").applyInPandas(run, schema)
     return got.groupBy(*names[:-1]).agg(F.sum("delta").alias("delta"))
 
 

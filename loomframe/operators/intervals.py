@@ -76,7 +76,9 @@ def eligible(frames: DataFrame, defects: DataFrame, margin: Column) -> DataFrame
     rows = frames.join(d, ["scenario", "frame"], "left").withColumn("_m", margin)
     w = Window.partitionBy("scenario").orderBy("frame")
     before = F.last("d", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("d", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # backwards, as a frame that only grows: one that shrinks is evaluated anew for each row
+    back = Window.partitionBy("scenario").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
+    after = F.last("d", ignorenulls=True).over(back)
     near = F.coalesce(F.col("frame") - before <= F.col("_m"), F.lit(False)) | F.coalesce(after - F.col("frame") <= F.col("_m"), F.lit(False))
     return rows.withColumn("_near", near).where(F.col("label").isin(*NORMAL) & ~F.col("_near")).select(*frames.columns)
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.session import spread
 from loomframe.sources.config import Motion, Windows
 
 UNKNOWN, HELD, RELIABLE = 0, 1, 2
@@ -121,7 +122,7 @@ def statuses(frames: DataFrame, tau: float | None, cfg: Motion = Motion(), sums:
         out["dx_used"] = out["dx_used"].astype(object).where(out["dx_used"].notna(), None)
         return out
 
-    return frames.select("scenario", "frame", "dx", "dy", "r", "has_est").groupBy("scenario").applyInPandas(run, f"scenario {kind}, frame int, status tinyint, dx_used double")
+    return frames.select("scenario", "frame", "dx", "dy", "r", "has_est").transform(spread, "scenario").groupBy("scenario").applyInPandas(run, f"scenario {kind}, frame int, status tinyint, dx_used double")
 
 
 def window_lengths(moved: DataFrame, cfg: Windows = Windows()) -> DataFrame:
@@ -207,4 +208,4 @@ def raw_motion(images: DataFrame, rows: int, cols: int, crop: tuple[int, int]) -
             before = z
         return pd.DataFrame(out, columns=["scenario", "frame", "dx", "dy", "r", "has_est"])
 
-    return images.groupBy("scenario").applyInPandas(run, f"scenario {kind}, frame int, dx double, dy double, r double, has_est boolean")
+    return spread(images, "scenario").groupBy("scenario").applyInPandas(run, f"scenario {kind}, frame int, dx double, dy double, r double, has_est boolean")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.session import spread
+
 NAMES = ("V0", "V1", "V2", "V4", "REV", "LAG", "ORA")
 CHUNK, LONGEST = 256, 25
 
@@ -107,7 +109,7 @@ def variants(rows: DataFrame, height: int, width: int, prior: float, chunk: int
             out += [(pdf["scenario"].iloc[i], f, name, got[name]) for name in NAMES]
         return pd.DataFrame(out, columns=["scenario", "frame", "variant", "score"])
 
-    return dealt.groupBy("scenario", "part").applyInPandas(run, f"scenario {kind}, frame int, variant string, score double")
+    return spread(dealt, "scenario", "part").groupBy("scenario", "part").applyInPandas(run, f"scenario {kind}, frame int, variant string, score double")
 
 
 def map_constants(maps: DataFrame, column: str = "map") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.session import spread
+
 #: Base vectors that may be broadcast, in bytes of float32.
 BROADCAST_BYTES = 256 << 20
 
@@ -27,9 +29,9 @@ def nearest(queries: DataFrame, base: DataFrame, blocks: int | None = None) -> D
     size = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n_bytes = (size["n"] or 0) * (size["d"] or 0) * 4
     blocks = blocks or max(1, -(-n_bytes // BROADCAST_BYTES))
-    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = queries.select("qid", "x", F.pmod(F.xxhash64("qid"), F.lit(spread)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = base.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    query_blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = queries.select("qid", "x", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = base.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def run(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
@@ -49,7 +51,7 @@ def nearest(queries: DataFrame, base: DataFrame, blocks: int | None = None) -> D
                 out.append((row, ids[k], float(e.min())))
         return pd.DataFrame(out, columns=["qid", "id", "d2"])
 
-    found = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(run, "qid long, id long, d2 double")
+    found = spread(left, "qb", "bb").groupBy("qb", "bb").cogroup(spread(right, "qb", "bb").groupBy("qb", "bb")).applyInPandas(run, "qid long, id long, d2 double")
     best = found.groupBy("qid").agg(F.min(F.struct("d2", "id")).alias("b"))
     return best.select("qid", F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
 

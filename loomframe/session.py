@@ -57,3 +57,12 @@ def release(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by key for grouped Python work.
+
+    The explicit number of partitions keeps adaptive execution from merging
+    them by their bytes: few rows can be much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
