@@ -32,28 +32,32 @@ RAW = frozenset("script style textarea title noscript template iframe noframes n
 FURNITURE = frozenset("nav header footer aside form menu dialog button label fieldset search object audio video canvas".split())
 #: Words of class, id or role that mark page furniture.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|aside|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|toolbar|header|masthead|footer|foot|bottom|comment|comments|commentlist|reply|replies|respond|disqus|discussion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|widgets|search|searchbox|pager|pagination|copyright|legal|disclaimer|contentinfo|complementary|tags|tagcloud|skip|hidden)(?=$|[\s_-])"
+    r"(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:(?<=^)|(?<=[\s_-]))(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|aside|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|topnav|toolbar|sidenav|header|masthead|footer|foot|bottom|comment|comments|commentlist|reply|replies|respond|response|responses|feedback|disqus|discussion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|widgets|search|searchbox|pager|pagination|copyright|legal|disclaimer|contentinfo|complementary|tags|tagcloud|skip|hidden)(?=$|[\s_-])"
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, in_article: bool) -> bool:
     if "=" not in attributes and "hidden" not in attributes:
         return False
     for name, value in ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            if MARKS.search(value):
+            # an article's own header holds its headline
+            if any(not (in_article and m[0] == "header") for m in MARKS.finditer(value)):
                 return True
         elif name == "hidden" or value == "true":
             return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, inside furniture, inside the article) of each block, in order."""
+def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters outside links, inside furniture, inside the article) of each block, in order.
+
+    Without ``marks`` only elements that are furniture by their name count as such.
+    """
     out: list[tuple[str, int, bool, bool]] = []
     text: list[str] = []
     links = 0
@@ -116,7 +120,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
         a = name in ("article", "main") or name == "div" and 'role="main"' in m[3]
         # an article's own header holds its headline
-        f = (name in FURNITURE and not (name in ("header", "label") and article)) or (name not in ("html", "body", "article", "main") and _marked(m[3]))
+        f = (name in FURNITURE and not (name in ("header", "label") and article)) or (marks and name not in ("html", "body", "article", "main") and _marked(m[3], article > 0))
         open_tags.append((name, f, a))
         furniture += f
         article += a
@@ -156,8 +160,14 @@ def region(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> li
 
 
 def main_text(page: str) -> str:
-    """The page's main text, its blocks joined by one space."""
-    found = lines(page)
+    """The page's main text, its blocks joined by one space.
+
+    Where class names leave no text at all, they are not followed.
+    """
+    return _text(lines(page)) or _text(lines(page, marks=False))
+
+
+def _text(found: list[tuple[str, int, bool, bool]]) -> str:
     inside = any(article and not furniture and weight for _, weight, furniture, article in found)
     weights = [0 if furniture or (inside and not article) else weight for _, weight, furniture, article in found]
     keep: list[str] = []

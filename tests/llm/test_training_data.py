@@ -306,6 +306,18 @@ def test_html_pages():
     assert html_extract.main_text("") == "" and html_extract.main_text("<p>cut <b>off <a hre") == "cut off"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div class='content has-sidebar'><p>Some text of the page.</p></div>", "Some text of the page."),
+    ("<div class='sidebar'><p>All there is.</p></div>", "All there is."),
+    ("<article><div class='entry-header'><h1>Head</h1></div><p>Body of it.</p><div class='share-bar'>Share this</div></article>", "Head Body of it."),
+    ("<main><p>One.</p><div role=alert>Notice!</div><p>Two.</p></main><div id='reader-comments'><p>No.</p></div>", "One. Two."),
+    ("<ARTICLE><P>Upper &quot;case&quot;&nbsp;tags<BR/>too</P></ARTICLE><noscript>x</noscript>", 'Upper "case" tags too'),
+    ("<article><p>a < b and c > d</p><pre>  x   y\n z </pre><table><tr><td>1</td><td>2</td></tr></table></article>", "a < b and c > d x y z 1 2"),
+])
+def test_html_variants(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None, 3), (1, "u", "", 3), (None, "u", "<article><p>x</p></article>", 3), (2, "u", "<p>" + "long text " * 50000, 3)]
     got = {(r.page_id, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
