@@ -22,7 +22,7 @@ AUDIT = "fold string, `group` string, scenario string, frames int, defect_frames
 BANK = "fold string, `group` string, scenario string, frame int"
 
 
-def find_root(given: str | None = None, variable: str = "TSF_ROOT", default: str | None = None, depth: int = 8) -> str | None:
+def find_root(given: str | None = None, variable: str = "FRAME_DATA_ROOT", default: str | None = None, depth: int = 8) -> str | None:
     """First folder with CSV and IMAGE below it: given, from the environment, default, or found by a walk of the default's parent."""
     for place in (given, os.environ.get(variable), default):
         if place and (Path(place) / "CSV").is_dir():
