@@ -280,10 +280,13 @@ def groups(docs: DataFrame, words: int = 4, radius: int = 4, count: int = 1, sec
     rows = durable(fingerprints(docs, words, count).withColumn("node", node), "simhash")
     prints = durable(rows.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(n).alias(n) for n in names)), "prints")
     roots = durable(components(links(prints, count, radius, radius + spare, shard_limit, second_radius)), "roots")
-    # only nodes with a link are in roots; the others are groups of their own
-    rooted = prints.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_node = rooted.join(least, "root").select("node", "component_id", "root")
+    # only nodes with a link are in roots; the others are groups of their own.  Tables that are joined on a key
+    # that may be hot are written first, so that the join deals out both sides and can split a hot key's rows.
+    linked = roots.join(prints.select("node", "first"), "node")
+    least = durable(linked.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = linked.select("node", "root").join(least, "root")
+    by_node = prints.select("node", "first").join(named, "node", "left")
+    by_node = durable(by_node.select("node", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "node").alias("root")), "by-node")
     return rows.join(by_node, "node").select("row_id", "doc_id", "p0", "component_id", "root")
 
 
