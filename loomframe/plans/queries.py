@@ -47,6 +47,13 @@ def layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return intervals.normal_set(frames, w), w
 
 
+def kept_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The layout written once, for plans that read it several times."""
+    frames = T.timeline(spark, sf_dir)
+    w = durable(windows(frames), "windows")
+    return durable(intervals.normal_set(frames, w), "frames"), w
+
+
 def coarse(frames: DataFrame) -> DataFrame:
     return frames.withColumn("score", F.floor(F.col("score") / 8) * F.lit(8.0))
 
@@ -182,8 +189,8 @@ def period():
     return 300 + 20 * F.col("scenario")
 
 
-def phased(spark, sf_dir) -> DataFrame:
-    frames = layout(spark, sf_dir)[0]
+def phased(spark, sf_dir, frames: DataFrame | None = None) -> DataFrame:
+    frames = layout(spark, sf_dir)[0] if frames is None else frames
     return intervals.blocks(intervals.phases(frames, intervals.anchors(frames, period()), period()))
 
 
@@ -206,7 +213,7 @@ def agg_unit_sizes(spark, sf_dir):
 @query("frames windows", """SELECT (SELECT count(*) FROM frames) AS frames, (SELECT count(*) FROM frames WHERE normal) AS normal, (SELECT count(*) FROM windows) AS passes,
 (SELECT count(DISTINCT track) FROM windows) AS tracks, (SELECT count(*) FROM windows WHERE carry) AS carry""")
 def agg_fold_statistics(spark, sf_dir):
-    return intervals.fold_statistics(*layout(spark, sf_dir))
+    return intervals.fold_statistics(*kept_layout(spark, sf_dir))
 
 
 @query("timeline", "SELECT scenario, n, CAST(sum(n) OVER (ORDER BY scenario) - n AS BIGINT) AS start FROM (SELECT scenario, count(*) AS n FROM timeline GROUP BY scenario)")
@@ -353,7 +360,7 @@ def agg_track_scores(spark, sf_dir):
 
 
 def curve_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    frames, w = layout(spark, sf_dir)
+    frames, w = kept_layout(spark, sf_dir)
     frames = coarse(frames)
     return metrics.metric_curve(events.steps(frames), metrics.pass_scores(frames, w)), metrics.sizes(frames, w)
 
@@ -646,7 +653,7 @@ rp AS (SELECT b, CAST(sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN T
 
 def trial(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Coarse frames with their windows (s, track), and the sizes."""
-    frames, w = layout(spark, sf_dir)
+    frames, w = kept_layout(spark, sf_dir)
     return intervals.in_window(coarse(frames), w, "s", "track"), metrics.sizes(frames, w)
 
 
@@ -665,12 +672,10 @@ def inf_collapse(spark, sf_dir):
 @query()
 def inf_chance_null(spark, sf_dir):
     """The whole null of 200 shifts with drawn offsets, and the collapse test, on unrounded scores."""
-    frames, w = layout(spark, sf_dir)
-    frames = durable(frames, "frames")
+    frames, w = kept_layout(spark, sf_dir)
     lengths_ = [r["n"] for r in frames.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()]  # one number a scenario
     drawn = inference.offsets(lengths_, 0, 0)
     by = spark.createDataFrame([(b, s, int(drawn[b, s])) for b in range(len(drawn)) for s in range(drawn.shape[1])], "b int, scenario int, d int")
-    w = durable(w, "windows")
     sizes = durable(metrics.sizes(frames, w), "sizes")
     null = inference.permutation_null(intervals.in_window(frames, w, "s", "track"), by, sizes)
     return inference.collapse(null, metrics.evaluate(frames, w))
@@ -688,9 +693,9 @@ def gen_null_calibration(spark, sf_dir):
 
 
 def bootstrap_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    rows = coarse(phased(spark, sf_dir)).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int"))
-    frames, w = layout(spark, sf_dir)
-    q = metrics.pass_scores(coarse(frames), w)
+    frames, w = kept_layout(spark, sf_dir)
+    rows = durable(coarse(phased(spark, sf_dir, frames)).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int")), "units")
+    q = durable(metrics.pass_scores(coarse(frames), w), "pass-scores")
     sizes = intervals.unit_sizes(rows, "unit")
     weights = sizes.select("unit").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("w", F.pmod(F.col("b") * 7 + F.col("unit") * 13, F.lit(3)).cast("long")).where("w > 0")
     tracks = q.select("track").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("w", F.pmod(F.col("b") + F.substring("track", 1, 1).cast("int") + 2 * F.substring("track", 3, 1).cast("int"), F.lit(3)).cast("long")).where("w > 0")
@@ -865,7 +870,7 @@ def gen_decision_grid(spark, sf_dir):
 
 
 def variant_metrics(spark, sf_dir, w: DataFrame, cap: int = events.CAP, weight=None, sizes=None) -> DataFrame:
-    frames = coarse(layout(spark, sf_dir)[0])
+    frames = coarse(kept_layout(spark, sf_dir)[0])
     q = metrics.pass_scores(frames, w)
     return metrics.metrics(metrics.metric_curve(events.steps(frames, cap=cap), q, weight=weight), sizes if sizes is not None else metrics.sizes(frames, w))
 
@@ -898,7 +903,7 @@ bw AS (SELECT c.*, (SELECT coalesce(sum(2520 // wt.n), 0) FROM qs JOIN wt USING
 SELECT CAST(sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN THEN detw * 1000 * (nextE - E) ELSE detw * (10 * nN - 1000 * E) END) AS BIGINT) AS P3_num, CAST(10 * (SELECT sum(2520 // wt.n * wt.n) FROM wt) * any_value(nN) AS BIGINT) AS P3_den FROM bw""")
 def spc_track_balanced(spark, sf_dir):
     """Passes weigh 2520 over the passes of their track (whole numbers; exact for up to ten passes)."""
-    frames, w = layout(spark, sf_dir)
+    frames, w = kept_layout(spark, sf_dir)
     frames = coarse(frames)
     n = w.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
     q = metrics.pass_scores(frames, w).join(n, "track").withColumn("weight", F.call_function("div", F.lit(2520).cast("long"), F.col("n")))
@@ -919,7 +924,7 @@ n AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS b, count(*) FILTER (WHERE b
 SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(gamma(b + c + 1.0) / gamma(i + 1.0) / gamma(b + c - i + 1.0)) FROM range(greatest(b, c), b + c + 1) AS r(i)) / power(2.0::DOUBLE, b + c)) END, 9) AS p FROM n""")
 def spc_mcnemar(spark, sf_dir):
     """Exact test of the tracks found by the score at 60 and by its trailing mean at 30."""
-    frames, w = layout(spark, sf_dir)
+    frames, w = kept_layout(spark, sf_dir)
     rows = temporal.trailing_mean(frames.withColumn("K", F.least(F.lit(7), "frame")))
     a = metrics.track_scores(metrics.pass_scores(rows, w)).withColumnRenamed("z", "za")
     b = metrics.track_scores(metrics.pass_scores(rows.withColumn("score", F.col("V1")), w)).withColumnRenamed("z", "zb")
