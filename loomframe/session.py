@@ -7,6 +7,8 @@ shares.  Such a table survives lost executors and cuts the lineage.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder for durable tables: the cluster's, or a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomframe-")
+        own = tempfile.mkdtemp(prefix="loomframe-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = "file://" + own
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

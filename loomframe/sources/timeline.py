@@ -102,3 +102,21 @@ def gated(reads: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def read_summary(reads: DataFrame) -> DataFrame:
     return reads.groupBy("purpose", "fold", "scenario").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tagged(frames: DataFrame, purpose: str, fold: int | str | None = None) -> DataFrame:
+    """Frames with the purpose (and fold) that they are read for."""
+    return frames.withColumn("purpose", F.lit(purpose)).withColumn("fold", F.lit(fold))
+
+
+def require_purpose(frames: DataFrame, purpose: str) -> DataFrame:
+    """The frames, or an error where one was read for another purpose."""
+    wrong = F.col("purpose").isNull() | (F.col("purpose") != purpose)
+    return frames.withColumn("purpose", F.when(wrong, F.raise_error(F.lit(f"frames must be read for {purpose}")).cast("string")).otherwise(F.col("purpose")))
+
+
+def training_scenarios(groups: DataFrame, wanted: list[str], test_group: str) -> DataFrame:
+    """Scenarios of the wanted groups (scenario, group); raises if the test group is among them."""
+    if test_group in wanted:
+        raise ValueError("the test group may not train")
+    return groups.where(F.col("group").isin(wanted)).select("scenario").distinct()
