@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,23 @@ def local_session(name: str = "loomframe", cpus: str = "*", partitions: int = 8)
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package, own = Path(__file__).resolve().parent, Path(tempfile.mkdtemp(prefix="loomframe-")).resolve()
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    with zipfile.ZipFile(own / "loomframe.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    context.addPyFile(str(own / "loomframe.zip"))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for durable tables: the cluster's, or a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
