@@ -683,11 +683,11 @@ def inf_chance_null(spark, sf_dir):
 
 @query()
 def gen_null_calibration(spark, sf_dir):
-    """Shifts of synthetic traces that do at least as well as the traces themselves, on the layout of the first frames."""
-    frames, w = layout(spark, sf_dir)
-    frames, w = frames.where("frame <= 250"), w.where("hi <= 250")
+    """Shifts of synthetic traces that do at least as well as the traces themselves, on the whole layout."""
+    frames, w = kept_layout(spark, sf_dir)
+    scenarios = [(r["scenario"], r["n"], 40) for r in frames.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")).orderBy("scenario").collect()]  # one number a scenario
     place = durable(intervals.in_window(frames, w, "s", "track").drop("score", "label", "dx", "dy", "r", "has_est"), "layout")
-    traces = synth.traces(spark, "N2_ar0.9", 6, [(s, 250, 40) for s in range(4)])
+    traces = synth.traces(spark, "N2_ar0.9", 6, scenarios)
     sizes = durable(metrics.sizes(frames, w), "sizes")
     return inference.calibrate(traces, place, fixed_shifts(spark, 12), sizes)
 
