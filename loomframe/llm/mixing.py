@@ -4,8 +4,11 @@ Every document draws a repetition count from a Poisson distribution whose mean
 is its source's target rate.  The draw inverts the distribution at a uniform
 number hashed from the document's id, so it needs no state, is the same on
 every run and after every lost executor, and copies of one rate are nested: a
-document kept at rate r is kept at every higher rate.  Documents are exploded
-by their counts and dealt out by a random key, which shuffles them globally.
+document kept at rate r is kept at every higher rate up to MAX_RATE.  A higher
+rate is the sum of independent draws by further hashes, each of MAX_RATE, and of
+one for the remainder, so no source misses its target for being small.
+Documents are exploded by their counts and dealt out by a random key, which
+shuffles them globally.
 
 Cases: a null source is the source ``""``; null and empty texts weigh one byte
 so that they can be drawn; repeated rows of one doc_id draw the same count; a
@@ -25,8 +28,10 @@ from loomframe.llm.common import fresh
 
 #: Uniform numbers have this many hexadecimal digits (52 bits, exact in a double).
 DIGITS = 13
-#: Poisson terms beyond this count are below 1e-16 for every rate up to MAX_RATE.
+#: Largest rate of one draw; higher rates take several.
 MAX_RATE = 16.0
+#: Copies that one row makes at once where some rate takes several draws.
+BLOCK = 256
 
 
 def terms(rate: float) -> int:
@@ -39,10 +44,14 @@ def terms(rate: float) -> int:
     return k
 
 
-def uniform(df: DataFrame, seed: int) -> Column:
-    """A number in [0, 1) from the seed and the document's identity."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
+def identity() -> Column:
+    """What a document's draws and order are hashed from."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def uniform(*prefix: Column) -> Column:
+    """A number in [0, 1) from the prefix and the document's identity."""
+    digest = F.md5(F.concat(*prefix, F.lit(":"), identity()))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
@@ -62,7 +71,12 @@ def rates(docs: DataFrame, weights: dict[str, float], budget: float) -> dict[str
     total = sum(got.values())
     rest = max(0.0, 1.0 - sum(weights.values()))
     shares = {**weights, None: rest}
-    return {s: min(MAX_RATE, budget * shares[s] * total / got[s]) for s in got}
+    return {s: budget * shares[s] * total / got[s] for s in got}
+
+
+def further(rate: float) -> int:
+    """Draws of MAX_RATE besides the one for the remainder."""
+    return max(0, math.ceil(rate / MAX_RATE) - 1)
 
 
 def cdf(rate: float) -> Column:
@@ -84,19 +98,37 @@ def mix(docs: DataFrame, weights: dict[str, float], budget: float = 1.0, seed: i
     """
     found = rates(docs, weights, budget)
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    steps = cdf(found.get(None, 0.0))
-    for s in sorted(x for x in found if x is not None):
-        steps = F.when(source == F.lit(s), cdf(found[s])).otherwise(steps)
+
+    def by_source(of) -> Column:
+        out = of(found.get(None, 0.0))
+        for s in sorted(x for x in found if x is not None):
+            out = F.when(source == F.lit(s), of(found[s])).otherwise(out)
+        return out
+
     copy, order, u, table = (fresh(docs, n) for n in ("mix_copy", "mix_key", "mix_u", "mix_cdf"))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    key = F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.col(copy).cast("string")))
+    steps = by_source(lambda rate: cdf(rate - MAX_RATE * further(rate)))
+    rows = docs.select(*docs.columns, uniform(F.lit(str(seed))).alias(u), steps.alias(table))
     # the count is the k with cdf(k-1) <= u < cdf(k): a copy for each step at or below u
-    copies = F.transform(F.filter(F.col(table), lambda c: F.col(u) >= c), lambda c, i: i)
-    return (
-        docs.select(*docs.columns, uniform(docs, seed).alias(u), steps.alias(table))
-        .withColumn(copy, F.explode(copies))
-        .withColumn(order, key)
-        .drop(u, table)
-        .repartition(F.col(order))
-        .sortWithinPartitions(order)
-    )
+    below = F.filter(F.col(table), lambda c: F.col(u) >= c)
+    if any(map(further, found.values())):
+        rows = _many(rows, F.size(below), by_source(lambda rate: F.lit(further(rate))), copy, seed)
+    else:
+        rows = rows.withColumn(copy, F.explode(F.transform(below, lambda c, i: i)))
+    key = F.md5(F.concat(F.lit(f"{seed}/"), identity(), F.lit("/"), F.col(copy).cast("string")))
+    return rows.withColumn(order, key).drop(u, table).repartition(F.col(order)).sortWithinPartitions(order)
+
+
+def _many(rows: DataFrame, first: Column, draws: Column, copy: str, seed: int) -> DataFrame:
+    """Rows with a copy number each, where a document draws ``draws`` more times.
+
+    Blocks of copies are dealt out before they are made, so the copies of a
+    source of one document are made by many tasks.
+    """
+    total, block = fresh(rows, "mix_total"), fresh(rows, "mix_block")
+    full = cdf(MAX_RATE)
+    drawn = F.transform(F.when(draws > 0, F.sequence(F.lit(1), draws)).otherwise(F.array().cast("array<int>")), lambda j: uniform(F.lit(f"{seed}+"), j.cast("string")))
+    more = F.aggregate(drawn, F.lit(0), lambda n, v: n + F.size(F.filter(full, lambda c: v >= c)))
+    counted = rows.withColumn(total, first + more).where(F.col(total) > 0)
+    blocks = counted.withColumn(block, F.explode(F.sequence(F.lit(0), F.col(total) - 1, F.lit(BLOCK))))
+    last = F.least(F.col(block) + (BLOCK - 1), F.col(total) - 1)
+    return blocks.repartition(identity(), F.col(block)).withColumn(copy, F.explode(F.sequence(F.col(block), last))).drop(total, block)

@@ -72,6 +72,26 @@ def test_poisson_inverse():
         assert mixing.terms(rate) < 60
 
 
+def test_mixing_small_source_reaches_its_share(spark):
+    rows = [(i, "small", "x" * 100) for i in range(20)] + [(i, "large", "x" * 1000) for i in range(20, 1020)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert mixing.rates(docs, {"small": 0.2}, 1.0)["small"] > 5 * mixing.MAX_RATE
+    got = mixing.mix(docs, {"small": 0.2}, 1.0, 3).select("doc_id", "source", "mix_copy", "mix_key", F.length("text").alias("n")).collect()
+    share = sum(r.n for r in got if r.source == "small") / sum(r.n for r in got)
+    assert 0.17 < share < 0.23
+    copies = {}
+    for r in got:
+        copies.setdefault(r.doc_id, []).append(r.mix_copy)
+    assert all(sorted(c) == list(range(len(c))) for c in copies.values())
+    assert len({r.mix_key for r in got}) == len(got)
+    # Poisson counts: their variance is their mean
+    counts = [len(copies.get(i, [])) for i in range(20)]
+    assert 0.3 < np.var(counts) / np.mean(counts) < 2.2
+    one = spark.createDataFrame([(1, "small", "x"), (2, "large", "y" * 100000)], "doc_id long, source string, text string")
+    n = Counter(r.doc_id for r in mixing.mix(one, {"small": 0.5}, 1.0, 3).select("doc_id").collect())
+    assert 49000 < n[1] < 51000
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mixing.mix(odd, {"a": 0.5}, 3.0, 1)
     assert got.columns == [*odd.columns, "mix_copy", "_mix_key"]  # the input has a mix_key of its own
