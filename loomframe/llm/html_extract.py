@@ -1,11 +1,15 @@
 """Main text by line-block distribution.
 
-A page is cut at its block elements into lines of plain text.  Lines of page
-furniture (menus, headers, footers, asides, forms, notices, adverts, comments)
-and of links weigh nothing.  The weights are summed over sliding windows of
-WINDOW lines; the main text begins where the sum surges and ends where it
-dives, and all lines between are kept.  Where the page marks its article, only
-lines inside it weigh.
+A page is cut at its block elements into lines of plain text; empty lines are
+skipped.  Lines of page furniture (menus, headers, footers, asides, forms,
+notices, adverts, comments) and of links weigh nothing.  The weights are summed
+over sliding windows of WINDOW lines; the main text begins where the sum surges
+and ends where it dives, and all lines between are kept.
+
+An element that marks an article is a bounded hint.  Where marked elements hold
+at least half of the page's text, links in them weigh as text, a run in them
+needs a peak HINT times lower, and any other run one HINT times higher.  Where
+they hold less, the hint is turned round: text outside is favoured.
 
 Cases: null and empty pages give an empty text; unclosed and stray tags, cut-off
 pages and very long pages are read to their end; rows of a repeated or null
@@ -17,13 +21,14 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a window; share of the largest window sum at which a run's peak counts as a surge.
-WINDOW, SURGE = 3, 0.2
+#: Lines of a window; share of the largest window sum at which a run's peak counts as a surge; how far a marked article moves it.
+WINDOW, SURGE, HINT = 3, 0.2, 2.5
 
 # Element names of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -131,31 +136,23 @@ def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def region(weights: list[int], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
-    """Runs of lines (first, after the last) between surge and dive points.
+def runs(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """Runs of lines (first, after the last, largest window sum) between surge and dive points.
 
-    A run begins at a line of weight whose window sum rises from nothing and
-    ends where the sum falls to nothing again; runs whose peak is below
-    ``surge`` of the largest are noise.
+    A run begins at a line of weight where the window sum rises from nothing
+    and ends where the sum falls to nothing again.
     """
     n = len(weights)
     total = sum(weights[:window])
-    sums = []
-    for i in range(n):
-        sums.append(total)
-        total += (weights[i + window] if i + window < n else 0) - weights[i]
-    peak = max(sums, default=0)
     out, start, best = [], -1, 0
     for i in range(n + 1):
-        now = sums[i] if i < n else 0
-        if now and start < 0:
-            start, best = i, now
-        elif now:
-            best = max(best, now)
+        if total and (start >= 0 or weights[i]):
+            start, best = (i, total) if start < 0 else (start, max(best, total))
         elif start >= 0:
-            if best >= surge * peak:
-                out.append((start, i))
+            out.append((start, i, best))
             start = -1
+        if i < n:
+            total += (weights[i + window] if i + window < n else 0) - weights[i]
     return out
 
 
@@ -168,12 +165,23 @@ def main_text(page: str) -> str:
 
 
 def _text(found: list[tuple[str, int, bool, bool]]) -> str:
-    inside = any(article and not furniture and weight for _, weight, furniture, article in found)
-    weights = [0 if furniture or (inside and not article) else weight for _, weight, furniture, article in found]
+    rows = [x for x in found if x[0]]
+    size = lambda inside: sum(weight for _, weight, furniture, article in rows if not furniture and article == inside)
+    marked = size(True) > 0
+    favoured = size(True) >= size(False)
+    weights = [0 if furniture else len(s) if marked and favoured and article else weight for s, weight, furniture, article in rows]
+    # a run lies on one side of the article's edge
+    pieces, at = [], 0
+    for article, group in groupby(rows, key=lambda x: x[3]):
+        n = len(list(group))
+        share = SURGE if not marked else SURGE / HINT if article == favoured else SURGE * HINT
+        pieces += [(at + first, at + end, peak, share) for first, end, peak in runs(weights[at : at + n])]
+        at += n
+    top = max((peak for _, _, peak, _ in pieces), default=0)
     keep: list[str] = []
-    # inside a marked article every run is main text
-    for first, end in region(weights, WINDOW, 0.0 if inside else SURGE):
-        keep += [s for s, _, furniture, article in found[first:end] if s and not furniture and (article or not inside)]
+    for first, end, peak, share in pieces:
+        if peak >= share * top:
+            keep += [s for s, _, furniture, _ in rows[first:end] if not furniture]
     return " ".join(keep)
 
 

@@ -338,6 +338,23 @@ def test_html_variants(page, want):
     assert html_extract.main_text(page) == want
 
 
+def test_html_surge_decides_over_article_elements():
+    body = " ".join(f"Sentence {i} of the story." for i in range(12))
+    card = "<article><h2><a href=/x>Teaser</a></h2><p>Short blurb.</p></article>"
+    page = f"<div><p>{body}</p><p>{body}</p><p>{body}</p></div><div>{card}{card}</div>"
+    assert html_extract.main_text(page) == " ".join([body] * 3)
+    # links at an article's end are its text, also where several follow each other
+    links = "".join(f"<p><a href=/{i}>Source {i}</a></p>" for i in range(5))
+    page = f"<nav><a href=/>Home</a></nav><article><p>{body}</p>{links}</article><div><p>Other words.</p></div>"
+    assert html_extract.main_text(page) == " ".join([body, *(f"Source {i}" for i in range(5))])
+    # long text beside an article is not lost for being outside
+    page = f"<article><p>{body}</p><p>{body}</p></article><div><p>{body}</p><p>{body}</p></div>"
+    assert html_extract.main_text(page) == " ".join([body] * 4)
+    # empty lines between tags do not end a run, lines of links before it are not in it
+    page = f"<ul><li><a href=\"/home\">Home</a></li></ul><div><div><p>{body}</p></div></div><div><div></div></div><div><div><p>End.</p></div></div>"
+    assert html_extract.main_text(page) == body + " End."
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None, 3), (1, "u", "", 3), (None, "u", "<article><p>x</p></article>", 3), (2, "u", "<p>" + "long text " * 50000, 3)]
     got = {(r.page_id, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
