@@ -3,10 +3,11 @@
 A url is a basket of tokens: its scheme, host labels, path words, file ending,
 query keys and whether it has a fragment; digits are masked.  Spark's FP-growth
 mines the labelled urls together with their label for frequent combinations.
-Rules that lead to the label "block" are kept when confident and frequent enough
-and no longer than MAX_TOKENS, and when no shorter rule within them is kept.
-Rules are matched by an inverted index: a url's tokens are joined with the
-rules' tokens and a rule holds when as many joined as it has.
+Rules that lead to the label "block" are kept when confident and frequent enough,
+whatever their length or number, and when no shorter such rule lies within them.
+Rules are matched by an inverted index: each is filed under its rarest token
+among the rules, joined with the urls that have it, and holds when they have all
+its tokens.
 
 Hand-written rules (host suffix, path prefix) come first; the longest that fits
 decides.  Everything is DataFrame operations.
@@ -23,9 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import fresh
+from loomframe.session import durable
 
-#: Least share of labelled urls under a rule with its label, least confidence, most tokens, most rules.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MAX_RULES = 0.002, 0.6, 2, 10000
+#: Least share of labelled urls under a rule with its label, least confidence.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Rules with up to so many tokens in all are broadcast; more are dealt out by their token.
+BROADCAST_TOKENS = 100_000
 
 # The filter list (verdict, host suffix, path prefix).
 RULES = (
@@ -70,12 +74,16 @@ def tokens(url: Column) -> Column:
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> DataFrame:
-    """Rules (rule_id, antecedent, confidence, support) that lead to the label.
+def filed(rules: DataFrame) -> DataFrame:
+    """Each rule under ``token``, the rarest of its tokens among the rules."""
+    each = rules.select("rule_id", F.explode("antecedent").alias("token"))
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(often, "token").groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("key"))
+    return rules.join(rarest.select("rule_id", F.col("key.token").alias("token")), "rule_id")
 
-    ``labelled`` has url and blocked (boolean).  Pruned in SQL: antecedents of
-    up to ``max_tokens`` tokens, none of which holds a kept shorter one.
-    """
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (rule_id, antecedent, confidence, support) that lead to the label, none of which holds a shorter one."""
     spark = labelled.sparkSession
     mark = "label=block"
     rows = labelled.where("url is not null and blocked is not null").withColumn("basket", tokens(F.col("url"))).where(F.size("basket") > 0)
@@ -84,11 +92,16 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     if baskets.isEmpty():
         return spark.createDataFrame([], schema)
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == mark) & (F.size("antecedent") <= max_tokens))
-    found = found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    found = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == mark))
+    found = durable(found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
+    # most rules hold a single token that is a rule; the others are compared with those that share a token
     single = found.where(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("token"))
     held = found.where(F.size("antecedent") > 1).select("rule_id", F.explode("antecedent").alias("token")).join(single, "token").select("rule_id").distinct()
-    return found.join(held, "rule_id", "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "rule_id").limit(max_rules)
+    rest = durable(found.join(held, "rule_id", "left_anti"), "url-rules-left")
+    longer = rest.where(F.size("antecedent") > 2).select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
+    shorter = filed(rest.where(F.size("antecedent") > 1)).select("token", F.col("antecedent").alias("within"))
+    inside = (F.size("within") < F.size("antecedent")) & (F.size(F.array_except("within", "antecedent")) == 0)
+    return rest.join(longer.join(shorter, "token").where(inside).select("rule_id").distinct(), "rule_id", "left_anti")
 
 
 def listed(h: Column, p: Column, rules: tuple = RULES) -> Column:
@@ -100,18 +113,20 @@ def listed(h: Column, p: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def judge(pages: DataFrame, mined: DataFrame, rules: tuple = RULES) -> DataFrame:
+def judge(pages: DataFrame, mined: DataFrame, rules: tuple = RULES, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """page_id, host, path, rule, verdict and the matched mined rule of every page.
 
-    ``mined`` has at most MAX_RULES rows, so its index of at most MAX_TOKENS
-    times as many small rows is broadcast.
+    The index of the mined rules is broadcast if they have up to
+    ``broadcast_tokens`` tokens in all; else both sides are dealt out by token.
     """
     row = fresh(pages, "row_id")
     url = F.col("url").cast("string")
     base = pages.select(F.monotonically_increasing_id().alias(row), F.col("page_id").cast("long").alias("page_id"), url.alias("url"))
-    index = mined.select("rule_id", F.size("antecedent").alias("n"), "confidence", F.explode("antecedent").alias("token"))
-    open_ = base.select(row, F.explode(tokens(F.col("url"))).alias("token"))
-    hits = open_.join(F.broadcast(index), "token").groupBy(row, "rule_id", "n", "confidence").agg(F.count(F.lit(1)).alias("held")).where("held = n")
+    index = durable(filed(mined).select("token", "rule_id", "antecedent", "confidence"), "url-index")
+    total = index.agg(F.sum(F.size("antecedent")).alias("n")).first()["n"] or 0
+    index = F.broadcast(index) if total <= broadcast_tokens else index.hint("shuffle_hash")
+    open_ = base.select(row, tokens(F.col("url")).alias("tokens")).select(row, "tokens", F.explode("tokens").alias("token"))
+    hits = open_.join(index, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
     best = hits.groupBy(row).agg(F.max(F.struct("confidence", "rule_id")).alias("best"))
     judged = base.join(best, row, "left").withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     judged = judged.withColumn("listed", listed(F.col("host"), F.col("path"), rules))

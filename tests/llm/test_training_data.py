@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -222,6 +223,38 @@ def test_url_mining(spark):
     assert url_rules.mine(labelled.where("false")).count() == 0
 
 
+def test_url_rules_of_any_length(spark):
+    """Three tokens that are only together a sign: each single and pair is as often allowed."""
+    parts = [("casino", "news"), ("de", "en"), (".html", ".php")]
+    rows = []
+    for n in range(8):
+        pick = [parts[i][n >> i & 1] for i in range(3)]
+        rows += [(f"http://{pick[0]}.test/{pick[1]}/x{pick[2]}", n == 0)] * 10
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = url_rules.mine(labelled, min_support=0.05)
+    assert {tuple(r.antecedent) for r in rules.collect()} == {("e:.html", "h:casino", "p:de")}
+    pages = spark.createDataFrame([(1, "https://casino.other/de/y.html"), (2, "https://casino.other/en/y.html")], "page_id long, url string")
+    for most in (100, 0):
+        assert rows_of(url_rules.judge(pages, rules, (), most), "page_id", "verdict") == [(1, "block"), (2, "allow")]
+
+
+def test_url_rules_against_all_itemsets(spark):
+    rng = np.random.default_rng(5)
+    urls = ["http://" + ".".join(f"{c}" for c in "abcdefg" if rng.random() < 0.5) + "." + "z/" for _ in range(300)]
+    rows = [(u, bool(rng.random() < (0.9 if "a" in u and "b" in u and "c" in u else 0.3))) for u in urls]
+    sets = [(frozenset(r.t), b) for (_, b), r in zip(rows, spark.createDataFrame([(u,) for u in urls], "url string").select(url_rules.tokens(F.col("url")).alias("t")).collect(), strict=True)]
+    every = sorted(set().union(*(t for t, _ in sets)))
+    good = []
+    for size in range(1, len(every) + 1):
+        for c in combinations(every, size):
+            hit = [b for t, b in sets if t >= set(c)]
+            if sum(hit) >= math.ceil(0.02 * len(sets)) and sum(hit) / len(hit) >= 0.75 and not any(g < set(c) for g in good):
+                good.append(set(c))
+    assert max(map(len, good)) > 2
+    got = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"), 0.02, 0.75)
+    assert {frozenset(r.antecedent) for r in got.collect()} == {frozenset(g) for g in good}
+
+
 # 5 licenses
 
 
