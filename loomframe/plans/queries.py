@@ -979,11 +979,11 @@ def str_causal_scores(spark, sf_dir):
     """A replayed stream through the stateful operators, all of it."""
     import uuid
 
-    from loomframe.session import shared_dir
+    from loomframe.session import work_dir
     from loomframe.streaming import scores
 
     frames = durable(T.timeline(spark, sf_dir), "stream-frames")
-    top = f"{shared_dir(spark)}/loomframe/stream-{uuid.uuid4().hex}"
+    top = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     scores.replay(frames, f"{top}/in", 2)
     stream = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{top}/in")
     run = scores.causal_scores(stream, 0.4).writeStream.format("parquet").option("checkpointLocation", f"{top}/state").outputMode("append").trigger(availableNow=True).start(f"{top}/out")

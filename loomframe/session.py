@@ -8,6 +8,7 @@ shares.  Such a table survives lost executors and cuts the lineage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "loomframe", cpus: str = "*", partitions: int = 8) -> SparkSession:
@@ -50,9 +52,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for durable tables: the cluster's, or a temporary one where none is set."""
+    """The folder for durable tables: the cluster's, or a temporary one on a single machine where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="loomframe-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -60,10 +64,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_swept: set[str] = set()
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder for durable tables, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    # at the end of the application its JVM may be gone already
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+
+
 def durable(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomframe/{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -82,6 +105,19 @@ def release(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes that a table may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """The table written once, and broadcast if its files take up to ``limit`` bytes; else joins shuffle it."""
+    kept = df if hasattr(df, "_durable_path") else durable(df, "maybe-broadcast")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(kept._durable_path)
+    size = target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return F.broadcast(kept) if size <= limit else kept
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows by key for grouped Python work.
 
