@@ -16,6 +16,7 @@ cuts, so the ids are those of the whole text.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters given to the tokenizer at once.
-PART = 1 << 18
+#: Characters given to the tokenizer at once, and of white space given to its pattern.
+PART, RUN = 1 << 18, 1 << 12
+# The characters of Unicode's white space, and the special token of the vocabulary.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPECIAL = {"<|endoftext|>": 50256}
+LONG_RUN = re.compile(f"[{SPACES}]{{{RUN},}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, pad_to long"
 
 
@@ -67,7 +72,7 @@ class Encoder:
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
     @classmethod
     def of(cls, ranks_path: str, pattern: str) -> Encoder:
@@ -76,9 +81,21 @@ class Encoder:
         return cls.kept[ranks_path]
 
     def ids(self, text: str) -> list[int]:
-        if len(text) <= PART:
-            return self.encoding.encode_ordinary(text)
-        return [i for p in parts(text) for i in self.encoding.encode_ordinary(p)]
+        if len(text) <= RUN:
+            return self._ids(text)
+        out: list[int] = []
+        for part in parts(text):
+            at = 0
+            for run in LONG_RUN.finditer(part):
+                end = run.end() if run.end() == len(part) or part.startswith(tuple(SPECIAL), run.end()) else run.end() - 1
+                out += self._ids(part[at : run.start()])
+                out += self.encoding._encode_single_piece(part[run.start() : end])
+                at = end
+            out += self._ids(part[at:])
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.encoding.encode(text, allowed_special="all", disallowed_special=())
 
 
 def vocabulary() -> tuple[str, str]:
