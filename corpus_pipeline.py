@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomframe.llm import exact_dedup, mixing, packing, queries, simhash, toxicity
 from loomframe.llm.common import fresh
-from loomframe.session import durable
+from loomframe.session import durable, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.deduplicate(docs, words=5, radius=6)
+    """Documents with a near copy that stays before them go."""
+    return simhash.deduplicate(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        after = durable(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        release(docs)
+        docs = after
     return docs

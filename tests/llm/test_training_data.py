@@ -109,7 +109,6 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -136,6 +135,11 @@ def test_packing_parts_and_empty(spark, odd):
     want = reference_ids([text])[0][:-1]
     encoder = packing.Encoder.of(*packing.vocabulary())
     assert [i for p in packing.parts(text, 500) for i in encoder.ids(p)] == want
+    runs = [" " * 9000, "\n" * 5000 + "x", "a" + " " * 5000 + "b <|endoftext|>", " " * 5000 + "<|endoftext|>\t" + "\u3000" * 4097 + " word", "é\x85" * 3000, "a" * 50000]
+    assert [[*encoder.ids(x), 1] for x in runs] == reference_ids(runs)
+    assert len(encoder.ids("x <|endoftext|> y")) == 4
+    for long in (" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "ab" * 1_000_000):
+        assert [*encoder.ids(long), 1] == reference_ids([long])[0]
     assert packing.pack(odd.where("false")).count() == 0
     assert rows_of(packing.pack(odd.where("doc_id in (4, 5)")), "doc_id", "length", "doc_tokens") == [(4, 1, 1), (5, 1, 1)]
 
@@ -453,32 +457,29 @@ def brute_print(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_lists(text, k, count):
-    """Several fingerprints, each of the hashes mixed once more."""
-    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    words = re.findall(r"[^\x20\x09-\x0D]+", words)
-    if not words:
-        return [0] * count
-    h = [xxhash.xxh64(" ".join(words[i : i + k]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - k + 1))]
-    out, top = [], 2**64 - 1
-    for _ in range(count):
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-        z = [(x + 0x9E3779B97F4A7C15) & top for x in h]
-        z = [((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top for x in z]
-        z = [((x ^ x >> 27) * 0x94D049BB133111EB) & top for x in z]
-        h = [x ^ x >> 31 for x in z]
-    return out
+def shingle_set(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
 
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
 
-def linked(a, b, radius, second):
-    """Whether any fingerprints and the ones after them are near."""
-    if isinstance(a, int):
-        return (a ^ b).bit_count() <= radius
-    n = len(a)
-    return any((a[k] ^ b[k]).bit_count() <= radius and (a[(k + 1) % n] ^ b[(k + 1) % n]).bit_count() <= second for k in range(n))
 
+def brute_stay(texts, least=0.8):
+    """Ids that stay when documents are taken in order and go if similar to one that stays; pairs share a shingle."""
+    sets, held, stay = {d: shingle_set(t) for d, t in texts.items()}, {}, []
+    for d in sorted(sets):
+        near = {x for g in sets[d] for x in held.get(g, ())} if sets[d] else {x for x in stay if not sets[x]}
+        if any(alike(sets[d], sets[x]) >= least for x in near):
+            continue
+        stay.append(d)
+        for g in sets[d]:
+            held.setdefault(g, []).append(d)
+    return set(stay)
 
-def brute_groups(prints, radius, second=64):
+
+def brute_groups(prints, radius):
     """Smallest id reachable for each id."""
     ids = sorted(prints)
     root = {i: i for i in ids}
@@ -490,7 +491,7 @@ def brute_groups(prints, radius, second=64):
 
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if linked(prints[a], prints[b], radius, second):
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
@@ -519,7 +520,7 @@ def test_links_of_dense_prints(spark, limit):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     prints = spark.createDataFrame([(signed(v), signed(v)) for v in values], "node long, p0 long")
     for radius in (0, 4, 6):
-        links = simhash.links(prints, 1, radius, radius + 2, limit)
+        links = simhash.links(prints, lambda p: simhash.exact_shards(p, radius), radius, limit)  # noqa: B023
         roots = {r.node: r.root for r in components(links).collect()}
         want = brute_groups(ids, radius)
         label = {}
@@ -545,6 +546,50 @@ def test_simhash_odd_rows(spark, odd):
     assert simhash.mark(odd.where("false")).count() == 0
 
 
+def test_near_copies_against_brute_force(spark):
+    """Every pair with a common shingle counts in the brute force."""
+    sf = "/root/testdata/sf0.1"
+    docs = exact_dedup.deduplicate(queries.table(spark, sf, "documents"))
+    docs = saved_as(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_stay(texts)
+    got = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    gone, dropped = set(texts) - want, set(texts) - got
+    assert len(gone) > 30
+    assert len(gone & dropped) >= 0.95 * len(gone) and len(dropped - gone) <= 0.05 * len(dropped)
+
+
+@pytest.mark.parametrize("leaders, per_salt", [(8, 512), (1, 3)])
+def test_copies_are_settled_in_order(spark, leaders, per_salt):
+    """One group of a hundred texts with chains of similarity: the result is that of one pass in order."""
+    rng = np.random.default_rng(8)
+    texts, base = {}, None
+    for d in range(100):
+        if d % 9 == 0:
+            base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+        else:
+            base = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                base[int(rng.integers(0, 120))] = f"v{rng.integers(0, 500)}"
+        texts[d] = " ".join(base)
+    texts |= {100: "", 101: None, 102: "a b"}
+    docs = saved(spark, [(int(d), t) for d, t in texts.items()], "doc_id long, text string")
+    grouped = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.lit(0).cast("long").alias("root"))
+    ids = {r.row_id: r.doc_id for r in grouped.collect()}
+    gone = {ids[r.row_id] for r in simhash.copies(docs, grouped, leaders=leaders, per_salt=per_salt).collect()}
+    assert set(texts) - gone == brute_stay(texts)
+
+
+def test_bands_cover_the_words():
+    rng = np.random.default_rng(9)
+    words = rng.integers(0, 2**63, (5, 8), dtype=np.uint64)
+    whole = [sum(int(w) << 64 * i for i, w in enumerate(row)) for row in words]
+    assert simhash.bands(8, 20)[-1][0] == 7 and len(simhash.bands(8, 20)) == 25
+    for k, (at, shift, size) in enumerate(simhash.bands(8, 20)):
+        assert 64 * at + shift == 20 * k and size == 20
+        assert [(w >> 20 * k) & (2**20 - 1) for w in whole] == [((int(r[at]) >> shift) | (int(r[at + 1]) << 64 - shift if shift + size > 64 else 0)) & (2**20 - 1) for r in words]
+
+
 # 10 sharding
 
 
@@ -598,8 +643,7 @@ def test_pipeline_against_stage_by_stage(spark):
     first = {}
     for d in sorted(clean):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[d].text or ""), d)
-    groups = brute_groups({d: brute_lists(rows[d].text, 5, 4) for d in first.values()}, 6, 14)
-    kept = {d for d, g in groups.items() if d == g}
+    kept = brute_stay({d: rows[d].text for d in first.values()})
     stages = {}
     now = docs
     for name, stage in corpus_pipeline.STAGES:
