@@ -1,27 +1,32 @@
 """Toxic passages by maximum-scoring segments.
 
-Token scores are log-odds between toxic and other labelled documents under an
+A word scores its log-odds between toxic and other labelled documents under an
 informative Dirichlet prior (Monroe et al. 2008): a token's prior count follows
 its share of all labelled text.  A token is a word or, for words too rare to be
 learned whole, its first six, five or four letters.  Tokens whose log-odds are
-not significantly positive cost a small constant, so a text without toxic words
-drifts downwards.
+significant, positive or negative, score their own; all other words score the
+log-odds of ordinary words as a whole, between the passages found in toxic texts
+with a first guess (FIRST_DRIFT) and the other labelled texts.
 
 In a text the linear-time scan of Ruzzo and Tompa (1999) finds all maximal
 segments of positive total.  Scores are made comparable between texts of
 different length by the extreme-value statistics of Karlin and Altschul
 (1990): a segment of score S among n words is expected K n exp(-lambda S) times
-by chance, where lambda solves E[exp(lambda s)] = 1 over ordinary words.
-Segments expected less than once in a hundred texts are passages.  A document's
-evidence (best and total log expectation) goes through a logistic curve fitted
-on labelled documents scored with words learned from others.
+by chance.  lambda solves E[exp(lambda s)] = 1 over the words of texts that are
+not toxic, and K is set by the extremes of those texts: one in a hundred (LEVEL)
+has a segment expected less than once in a hundred texts, which makes it a
+passage.  A document's evidence (best and total log
+expectation) goes through a logistic curve fitted on labelled documents scored
+with words learned from others.
 
 The classifier is fitted on a bounded sample of labelled rows (MAX_TOXIC and
-MAX_OTHER, taken by a hash of doc_id); scoring reads every text to its end.
+MAX_OTHER, taken by a hash of doc_id); it keeps every significant token of that
+sample.  Scoring reads every text to its end.
 
 Cases: null and empty texts hold no passage and score like any text without
-one; rows of a repeated or null doc_id are scored one by one; with no usable
-labels every score is 0; other columns are ignored, whatever their names.
+one; rows of a repeated or null doc_id are scored one by one, the labels of a
+repeated doc_id as its largest; with no usable labels every score is 0; other
+columns are ignored, whatever their names.
 """
 
 import math
@@ -39,16 +44,16 @@ from loomframe.session import durable, release
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TOXIC, MAX_OTHER = 6000, 12000
-#: Learned tokens, at most.
-MAX_TOKENS = 20000
-#: Share of all labelled tokens that the Dirichlet prior is worth, and the least significance and log-odds.
+#: Share of all labelled tokens that the Dirichlet prior is worth; least significance of a token, and least log-odds of one for toxicity.
 PRIOR, LEAST_Z, LEAST_ODDS = 0.05, 3.0, 1.5
-#: Cost of a word that was not learned; expected chance passages of a text.
-DRIFT, LEVEL = 0.25, 0.01
+#: Cost of an ordinary word before it is estimated; expected chance passages of a text.
+FIRST_DRIFT, LEVEL = 0.25, 0.01
 PREFIXES = (6, 5, 4)
 #: Curve where too few labelled rows are left to fit one.
 DEFAULT_CURVE = (-3.0, 2.5, 0.0)
 WORD = re.compile(r"[^\W\d_]+")
+#: Words that a worker remembers the scores of.
+REMEMBERED = 1 << 18
 
 
 def tokens(word: str) -> list[str]:
@@ -56,31 +61,42 @@ def tokens(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
+class Lookup(dict):
+    """Scores of words, filled as they come."""
+
+    def __init__(self, scores: dict[str, float], drift: float):
+        self.scores, self.drift = scores, drift
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        own = next((self.scores[t] for t in tokens(word) if t in self.scores), -self.drift)
+        self[word] = own
+        return own
+
+
 @dataclass
 class Model:
     """Scores of learned tokens and the calibration."""
 
     scores: dict[str, float] = field(default_factory=dict)
+    drift: float = FIRST_DRIFT
     rate: float = 1.0
     k: float = 1.0
     curve: tuple[float, float, float] | None = None
-    starts: frozenset[str] = frozenset()
 
     def __post_init__(self):
-        self.starts = frozenset(t.rstrip("*")[:4] for t in self.scores)
+        self.lookup = Lookup(self.scores, self.drift)
 
-    def score(self, word: str) -> float:
-        for t in tokens(word):
-            if t in self.scores:
-                return self.scores[t]
-        return -DRIFT
+    def word_scores(self, text: str) -> np.ndarray:
+        """The score of every word in order."""
+        lookup = self.lookup
+        return np.array([lookup[w] for w in WORD.findall(text.lower())], np.float64)
 
     def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments (first word, word after the last, score) and the number of words."""
-        words = WORD.findall(text.lower())
-        starts = self.starts
-        hits = [(i, s) for i, w in enumerate(words) if w[:4] in starts and (s := self.score(w)) > 0]
-        return maximal(hits), len(words)
+        scores = self.word_scores(text)
+        return maximal(scores), len(scores)
 
     def evidence(self, text: str) -> tuple[float, float, list[tuple[int, int, float, float]]]:
         """Best and total -log expectation, and the significant passages with theirs."""
@@ -97,18 +113,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def maximal(hits: list[tuple[int, float]], drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """Maximal segments of a sequence that is ``-drift`` but for the positive ``hits``.
+def maximal(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """Maximal segments (first, after the last, total) of a sequence of scores.
 
     Each kept candidate remembers the last one before it with a smaller left
     sum; a search follows these marks, so the scan is linear.
     """
     kept: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, after, mark
-    total, after = 0.0, 0
-    for i, s in hits:
-        left = total - drift * (i - after)
-        total, after = left + s, i + 1
-        item = [left, total, i, i + 1]
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    for i in np.flatnonzero(scores > 0).tolist():
+        item = [float(sums[i]), float(sums[i + 1]), i, i + 1]
         j = len(kept) - 1
         while True:
             while j >= 0 and kept[j][0] >= item[0]:
@@ -168,28 +182,42 @@ def log_odds(y1: float, y0: float, n1: float, n0: float) -> tuple[float, float]:
 
 
 def significant(y1: Column, y0: Column, n1: int, n0: int) -> Column:
-    """Whether a token's log-odds are large and significant, as ``log_odds`` has them (with some slack)."""
+    """Whether a token's log-odds are significant, as ``log_odds`` has them (with some slack)."""
     a, a0 = PRIOR * (y1 + y0), PRIOR * (n1 + n0)
     p, q = y1 + a, y0 + a
     value = F.log(p / F.greatest(n1 + a0 - p, F.lit(1.0))) - F.log(q / F.greatest(n0 + a0 - q, F.lit(1.0)))
-    return (y1 > 0) & (value >= LEAST_ODDS - 1e-6) & (value >= (LEAST_Z - 1e-6) * F.sqrt(1 / p + 1 / q))
+    least = (LEAST_Z - 1e-6) * F.sqrt(1 / p + 1 / q)
+    return (y1 + y0 > 0) & (((y1 > 0) & (value >= LEAST_ODDS - 1e-6) & (value >= least)) | (value <= -least))
 
 
-def decay(scores: list[tuple[float, float]], drift: float = DRIFT) -> float:
-    """lambda with E[exp(lambda s)] = 1, where ``scores`` are (probability, score) of learned words."""
-    rest = max(0.0, 1 - sum(p for p, _ in scores))
-    f = lambda x: sum(p * math.exp(x * s) for p, s in scores) + rest * math.exp(-x * drift) - 1
-    if not scores or sum(p * s for p, s in scores) - rest * drift >= 0:
+def decay(counts: dict[float, int]) -> float:
+    """lambda with E[exp(lambda s)] = 1 over words with so many of each score; 1 where there is none."""
+    total = sum(counts.values())
+    if not total or max(counts) <= 0 or sum(s * n for s, n in counts.items()) >= 0:
         return 1.0
-    lo, hi = 1e-6, 1e-6
-    while f(hi) < 0 and hi < 8:
-        lo, hi = hi, hi * 2
-    for _ in range(60):
+    f = lambda x: sum(n * math.expm1(min(x * s, 500.0)) for s, n in counts.items())
+    hi = 1e-3
+    while f(hi) < 0:
+        hi *= 2
+    lo = 0.0
+    for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
     return hi
 
 
+def chance_factor(seen: list[tuple[int, float]], rate: float, level: float = LEVEL) -> float:
+    """K for (words, best segment) of ordinary texts: so that a share ``level`` of them has a passage.
+
+    A text has a passage from K n exp(-rate best) <= level on; ``rate`` gives the
+    slope of the tail, the texts of largest best its height.
+    """
+    if not seen:
+        return 1.0
+    high = sorted((rate * s - math.log(max(n, 1)) for n, s in seen), reverse=True)
+    return level * math.exp(high[min(int(level * len(high)), len(high) - 1)])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton steps; x holds a column of ones first."""
     w = np.zeros(x.shape[1])
@@ -208,47 +236,110 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
 def learned(rows: list[tuple[str, int, int]]) -> Model:
     """Words from (token, toxic texts, other texts); the token "" holds the totals."""
     n1, n0 = next((y1, y0) for t, y1, y0 in rows if t == "")
-    scores, chances = {}, []
+    scores = {}
     for t, y1, y0 in rows:
-        if t and y1 and n1 and n0:
+        if t and y1 + y0 and n1 and n0:
             value, z = log_odds(y1, y0, n1, n0)
-            if z >= LEAST_Z and value >= LEAST_ODDS:
+            if (z >= LEAST_Z and value >= LEAST_ODDS and y1) or z <= -LEAST_Z:
                 scores[t] = value
-                # a word counts under each of its prefixes
-                chances.append(((y0 + PRIOR * (y1 + y0)) / (n0 + PRIOR * (n1 + n0)) / (1 + len(PREFIXES)), value))
-    return Model(scores, decay(chances), curve=DEFAULT_CURVE if scores else None)
+    return Model(scores, curve=DEFAULT_CURVE if any(v > 0 for v in scores.values()) else None)
+
 
+def ordinary_cost(inside: tuple[int, int], outside: tuple[int, int]) -> float:
+    """Minus the log-odds of an ordinary word, from (ordinary words, words) of passages and of other texts."""
+    share = lambda pair: (pair[0] + 1) / (pair[1] + 2)
+    return max(0.01, math.log(share(outside)) - math.log(share(inside)))
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, max_tokens: int = MAX_TOKENS) -> Model:
+
+def _passages_words(model: Model):
+    """(ordinary words, words) of each text: of its passages if it is toxic, else of all of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                scores = model.word_scores(text.as_py() or "")
+                if toxic:
+                    scores = np.concatenate([np.zeros(0), *(scores[a:b] for a, b, _ in maximal(scores))])
+                out.append((int((scores == -model.drift).sum()), len(scores)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o for o, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64())], names=["toxic", "ordinary", "words"])
+
+    return run
+
+
+def _chances(model: Model):
+    """Of ordinary texts: words of each score (summed within the task), and each text's words and best segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            words, best = [], []
+            for text in batch.column(1):
+                scores = model.word_scores(text.as_py() or "")
+                values, n = np.unique(scores, return_counts=True)
+                counts.update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+                words.append(len(scores))
+                best.append(max((s for *_, s in maximal(scores)), default=0.0))
+            yield as_batch([None] * len(words), words, best)
+        yield as_batch(list(counts), list(counts.values()), [None] * len(counts))
+
+    def as_batch(value: list, n: list, best: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(value, pa.float64()), pa.array(n, pa.int64()), pa.array(best, pa.float64())], names=["value", "n", "best"])
+
+    return run
+
+
+def calibrated(model: Model, rows: DataFrame) -> Model:
+    """The model with the cost of ordinary words, lambda and K from labelled rows (toxic, text).
+
+    The driver gets a pair of sums, a row for each ordinary text of the bounded
+    sample, and a count for each learned score.
+    """
+    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
+    sums = rows.mapInArrow(_passages_words(model), "toxic int, ordinary long, words long").groupBy("toxic").agg(F.sum("ordinary").alias("o"), F.sum("words").alias("w"))
+    found = {r["toxic"]: (r["o"], r["w"]) for r in sums.collect()}
+    model = Model(model.scores, ordinary_cost(found.get(1, (0, 0)), found.get(0, (0, 0))), curve=model.curve)
+    seen = rows.where("toxic = 0").mapInArrow(_chances(model), "value double, n long, best double")
+    seen = seen.where("value is null").unionByName(seen.where("value is not null").groupBy("value").agg(F.sum("n").alias("n")).withColumn("best", F.lit(None).cast("double"))).collect()
+    rate = decay({r["value"]: r["n"] for r in seen if r["value"] is not None})
+    k = chance_factor([(r["n"], r["best"]) for r in seen if r["value"] is None], rate)
+    return Model(model.scores, model.drift, rate, k, model.curve)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
     """Fit on the labelled sample outside the held-out fold.
 
     Words learned on folds 0 and 1 score fold 3, which gives the curve; the
     words of the final model are learned on all three.
 
     The sample's ids (at most max_toxic + max_other rows of two numbers) are
-    broadcast; the driver gets at most max_tokens tokens and one pair of
-    numbers for each calibration row.
+    broadcast.  The driver gets the sample's significant tokens: each stands in
+    several of its texts, so they are a fraction of its distinct words.
     """
     sample = labelled_sample(labels, max_toxic, max_other)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
+    # written, as several passes read it
+    rows = durable(rows.select("toxic", "fold", "text"), "labelled")
     counted = rows.select((F.col("toxic") + 2 * (F.col("fold") == 3).cast("int")).alias("kind"), "text").mapInArrow(_counts, "token string, kind int, n long")
     part = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
     table = counted.groupBy("token").agg(part(1, 3).alias("y1"), part(0, 2).alias("y0"), part(1).alias("first1"), part(0).alias("first0"))
-    table = durable(table.where("y1 >= 3 or token = ''"), "tokens")
+    table = durable(table.where("y1 + y0 >= 3 or token = ''"), "tokens")
     totals = table.where("token = ''").first()
     if totals is None or not totals["y1"] or not totals["y0"]:
         return Model()
-    # only significant tokens, which are few, come to the driver
     useful = significant(F.col("y1"), F.col("y0"), totals["y1"], totals["y0"])
     if totals["first1"] and totals["first0"]:
         useful = useful | significant(F.col("first1"), F.col("first0"), totals["first1"], totals["first0"])
-    ratio = (F.col("y1") + 1) / (F.col("y0") + 1)
-    top = [totals, *table.where((F.col("token") != "") & useful).orderBy(F.desc(ratio), F.desc("y1"), "token").limit(max_tokens).collect()]
+    top = [totals, *table.where((F.col("token") != "") & useful).orderBy("token").collect()]
     release(table)
     whole = learned([(r["token"], r["y1"], r["y0"]) for r in top])
+    if whole.curve is None:
+        return whole
+    whole = calibrated(whole, rows)
     model = learned([(r["token"], r["first1"], r["first0"]) for r in top])
-    if not model.scores:
+    if model.curve is None:
         return whole
+    model = calibrated(model, rows.where("fold = 3"))
 
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,6 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_othe
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["toxic", "best", "total"])
 
     seen = rows.where("fold = 3").select(F.col("toxic").cast("int"), "text").mapInArrow(evidences, "toxic int, best double, total double").collect()
+    release(rows)
     if len({r["toxic"] for r in seen}) < 2:
         return whole
     seen.sort()
