@@ -163,7 +163,7 @@ def _license_sql() -> str:
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in licenses.PHRASES.items())
     rows = []
-    for i, (text, label) in enumerate(licenses.TEMPLATES.items()):
+    for i, (text, label) in enumerate(licenses.template_words().items()):
         own = sorted(set(text.split()))
         rows.append(f"({i}, '{label}', {quoted(own)}, {len(own)}, {math.ceil(licenses.THRESHOLD * len(own) - 1e-9)}, {math.ceil(licenses.WIDTH * len(text.split()))})")
     return rf"""
