@@ -11,6 +11,10 @@ at least half of the page's text, links in them weigh as text, a run in them
 needs a peak HINT times lower, and any other run one HINT times higher.  Where
 they hold less, the hint is turned round: text outside is favoured.
 
+Words of class, id or role that may as well name a part of an article (``SOFT``)
+are a hint too.  Inside an article, a stretch of lines so marked is furniture only
+where its own window sums stay below DENSE characters.
+
 Cases: null and empty pages give an empty text; unclosed and stray tags, cut-off
 pages and very long pages are read to their end; rows of a repeated or null
 page_id are read one by one; other columns are ignored, whatever their names.
@@ -29,45 +33,57 @@ from pyspark.sql import functions as F
 
 #: Lines of a window; share of the largest window sum at which a run's peak counts as a surge; how far a marked article moves it.
 WINDOW, SURGE, HINT = 3, 0.2, 2.5
+#: Characters outside links in a window from which on softly marked lines of an article are text.
+DENSE = 120
 
 # Element names of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp svg math select".split())
+RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp select desc metadata".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button label fieldset search object audio video canvas".split())
 #: Words of class, id or role that mark page furniture.
 MARKS = re.compile(
-    r"(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:(?<=^)|(?<=[\s_-]))(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|side|aside|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|topnav|toolbar|sidenav|header|masthead|footer|foot|bottom|comment|comments|commentlist|reply|replies|respond|response|responses|feedback|disqus|discussion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|widget|widgets|search|searchbox|pager|pagination|copyright|legal|disclaimer|contentinfo|complementary|tags|tagcloud|skip|hidden)(?=$|[\s_-])"
+    r"(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:(?<=^)|(?<=[\s_-]))(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|sidebar|aside|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|topbar|topnav|toolbar|sidenav|header|masthead|footer|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|widget|widgets|searchbox|pager|pagination|contentinfo|hidden)(?=$|[\s_-])"
+)
+#: Words of class, id or role that mark furniture outside an article, and inside it where there is little text.
+SOFT = re.compile(
+    r"(?<!\bno-)(?<!\bhas-)(?<!\bwith-)(?:(?<=^)|(?<=[\s_-]))(?:side|foot|bottom|reply|replies|respond|response|responses|feedback|discussion|signup|login|recommended|recommendations|search|copyright|legal|disclaimer|complementary|tags|tagcloud|skip)(?=$|[\s_-])"
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str, in_article: bool) -> bool:
+def _marked(attributes: str, in_article: bool) -> int:
+    """2 if the attributes mark furniture, 1 if they may, else 0."""
+    level = 0
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return level
     for name, value in ATTR.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             # an article's own header holds its headline
             if any(not (in_article and m[0] == "header") for m in MARKS.finditer(value)):
-                return True
+                return 2
+            if SOFT.search(value):
+                level = 1 if in_article else 2
         elif name == "hidden" or value == "true":
-            return True
-    return False
+            return 2
+    return level
+
 
+def lines(page: str, marks: bool = True) -> list[tuple[str, int, int, bool]]:
+    """(text, characters outside links, level of furniture, inside the article) of each block, in order.
 
-def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, inside furniture, inside the article) of each block, in order.
+    The level is 2 inside furniture, 1 inside what is only softly marked, else 0.
 
     Without ``marks`` only elements that are furniture by their name count as such.
     """
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
     links = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, article
-    furniture = article = 0
+    open_tags: list[tuple[str, int, bool]] = []  # name, level of furniture, article
+    furniture = soft = article = 0
     in_link = 0
 
     def put(s: str) -> None:
@@ -80,15 +96,16 @@ def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, bool]]:
     def cut() -> None:
         nonlocal links
         s = SPACE.sub(" ", entities.unescape("".join(text))).strip()
-        out.append((s, max(0, len(s) - links) if s else 0, furniture > 0, article > 0))
+        out.append((s, max(0, len(s) - links) if s else 0, 2 if furniture else 1 if soft else 0, article > 0))
         text.clear()
         links = 0
 
     def close(until: int) -> None:
-        nonlocal furniture, article, in_link
+        nonlocal furniture, soft, article, in_link
         while len(open_tags) > until:
             name, f, a = open_tags.pop()
-            furniture -= f
+            furniture -= f == 2
+            soft -= f == 1
             article -= a
             in_link -= name == "a"
 
@@ -125,9 +142,14 @@ def lines(page: str, marks: bool = True) -> list[tuple[str, int, bool, bool]]:
                     break
         a = name in ("article", "main") or name == "div" and 'role="main"' in m[3]
         # an article's own header holds its headline
-        f = (name in FURNITURE and not (name in ("header", "label") and article)) or (marks and name not in ("html", "body", "article", "main") and _marked(m[3], article > 0))
+        f = 0
+        if name in FURNITURE and not (name in ("header", "label") and article):
+            f = 2
+        elif marks and name not in ("html", "body", "article", "main"):
+            f = _marked(m[3], article > 0)
         open_tags.append((name, f, a))
-        furniture += f
+        furniture += f == 2
+        soft += f == 1
         article += a
         in_link += name == "a"
     rest = page[at:]
@@ -164,8 +186,19 @@ def main_text(page: str) -> str:
     return _text(lines(page)) or _text(lines(page, marks=False))
 
 
-def _text(found: list[tuple[str, int, bool, bool]]) -> str:
-    rows = [x for x in found if x[0]]
+def judged(rows: list[tuple[str, int, int, bool]], dense: int = DENSE) -> list[bool]:
+    """Whether each line is furniture: softly marked stretches are where no window of theirs is dense."""
+    out: list[bool] = []
+    for level, group in groupby(rows, key=lambda x: x[2]):
+        weights = [weight for _, weight, *_ in group]
+        most = max(sum(weights[i : i + WINDOW]) for i in range(len(weights)))
+        out += [level == 2 or level == 1 and most < dense] * len(weights)
+    return out
+
+
+def _text(found: list[tuple[str, int, int, bool]]) -> str:
+    kept = [x for x in found if x[0]]
+    rows = [(s, weight, furniture, article) for (s, weight, _, article), furniture in zip(kept, judged(kept), strict=True)]
     size = lambda inside: sum(weight for _, weight, furniture, article in rows if not furniture and article == inside)
     marked = size(True) > 0
     favoured = size(True) >= size(False)
