@@ -147,11 +147,8 @@ def test_packing_parts_and_empty(spark, odd):
 # 3 toxicity
 
 
-def brute_segments(hits, n):
+def brute_segments(s):
     """Maximal segments by recursion on the definition: the best, then left and right of it."""
-    s = np.full(n, -toxicity.DRIFT)
-    for i, v in hits:
-        s[i] = v
     c = np.concatenate([[0], np.cumsum(s)])
 
     def best(lo, hi):
@@ -164,17 +161,55 @@ def brute_segments(hits, n):
             return []
         return best(lo, where[0]) + [(*where, round(top, 6))] + best(where[1], hi)
 
-    return best(0, n)
+    return best(0, len(s))
 
 
 def test_segments_against_definition():
     rng = np.random.default_rng(1)
     for _ in range(150):
-        n = int(rng.integers(1, 40))
-        hits = [(i, float(rng.choice([0.41, 1.03, 3.77]))) for i in range(n) if rng.random() < 0.2]
-        got = [(a, b, round(s, 6)) for a, b, s in toxicity.maximal(hits)]
-        want = brute_segments(hits, n)
-        assert [round(x[2], 5) for x in got] == [round(x[2], 5) for x in want]
+        s = rng.choice([0.41, 1.03, 3.77, -0.25, -0.25, -0.25, -0.25, -0.83, -2.1], int(rng.integers(1, 40)))
+        got = [round(x, 5) for _, _, x in toxicity.maximal(s)]
+        assert got == [round(x[2], 5) for x in brute_segments(s)]
+    assert toxicity.maximal(np.array([])) == [] and toxicity.maximal(np.array([1.0, -2.0, 1.0])) == [(0, 1, 1.0), (2, 3, 1.0)]
+
+
+def test_log_odds_and_calibration_by_hand():
+    # counts 8 of 100 against 2 of 900, prior 5 % of both: (8.5 / 141.5) : (2.5 / 947.5)
+    value, z = toxicity.log_odds(8, 2, 100, 900)
+    assert value == pytest.approx(math.log(8.5 / 141.5) - math.log(2.5 / 947.5)) and z == pytest.approx(value / math.sqrt(1 / 8.5 + 1 / 2.5))
+    rng = np.random.default_rng(3)
+    counts = {2.0: 5, 0.7: 30, -0.4: 900, -1.5: 65}
+    rate = toxicity.decay(counts)
+    assert sum(n * math.exp(rate * s) for s, n in counts.items()) == pytest.approx(sum(counts.values()), rel=1e-9) and rate > 0
+    assert toxicity.decay({}) == 1.0 and toxicity.decay({-1.0: 5}) == 1.0 and toxicity.decay({1.0: 5}) == 1.0
+    # texts of ordinary words: about one in a hundred has a passage
+    p = np.array(list(counts.values())) / sum(counts.values())
+    seen = []
+    for _ in range(4000):
+        n = int(rng.integers(20, 200))
+        seen.append((n, max((x for *_, x in toxicity.maximal(rng.choice(list(counts), n, p=p))), default=0.0)))
+    k = toxicity.chance_factor(seen, rate)
+    hit = sum(k * n * math.exp(-rate * s) <= toxicity.LEVEL for n, s in seen) / len(seen)
+    assert 0.005 < hit < 0.02
+    assert toxicity.ordinary_cost((40, 100), (95, 100)) == pytest.approx(math.log(96 / 102) - math.log(41 / 102))
+
+
+def test_score_of_a_text_by_brute_force():
+    """Every step of a document's score from the definitions."""
+    model = toxicity.Model({"awful": 3.0, "terri*": 2.0, "kind": -1.5}, 0.4, 1.3, 0.5, (-3.0, 1.1, 0.7))
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        words = rng.choice(["awful", "Terrible", "kind", "the", "cat", "42", "terrifying"], int(rng.integers(0, 30)), p=[0.1, 0.1, 0.1, 0.3, 0.2, 0.1, 0.1]).tolist()
+        own = [{"awful": 3.0, "terrible": 2.0, "terrifying": 2.0, "kind": -1.5}.get(w.lower(), -0.4) for w in words if w != "42"]
+        chance = [1.3 * s - math.log(0.5 * max(len(own), 1)) for _, _, s in brute_segments(own)]
+        best, total = max([0.0, *chance]), sum(c for c in chance if c >= math.log(100))
+        got = model.evidence(" ".join(words))
+        assert got[0] == pytest.approx(best, abs=1e-4) and got[1] == pytest.approx(total, abs=1e-3)
+        assert model.probability(best, total) == pytest.approx(1 / (1 + math.exp(3.0 - 1.1 * math.log1p(best) - 0.7 * math.log1p(total))))
+    # tied segments count each; a very long text is read to its end
+    assert len(model.evidence("awful " * 3 + "the " * 100 + "awful " * 3)[2]) == 2
+    long = "the cat " * 200_000 + "awful " * 8
+    assert model.evidence(long)[2][-1][1] == 400_008
 
 
 def test_toxicity_held_out(spark):
@@ -271,8 +306,9 @@ def brute_scan(text, scanner):
             if words[i : i + len(p)] == p:
                 places.setdefault(label, []).append(i)
     found = {}
+    name = {r: w.decode() for w, r in scanner.rank.items()}
     for label, order, need, width in scanner.templates:
-        own = {w.decode() for w in order}
+        own = {name[r] for r in order}
         best = max((len(own & set(words[i : i + width])) for i in range(max(1, len(words)))), default=0)
         if best >= need:
             found[label] = max(found.get(label, 0), best / len(order))
@@ -281,10 +317,10 @@ def brute_scan(text, scanner):
 
 def test_licenses_against_brute_force(spark):
     rng = np.random.default_rng(3)
-    vocabulary = sorted({w for t in licenses.TEMPLATES for w in t.split()}) + ["alpha", "beta", "ñu"]
+    vocabulary = sorted({w for t in licenses.template_words() for w in t.split()}) + ["alpha", "beta", "ñu"]
     scanner = licenses.Scanner({w: int(rng.integers(0, 50)) for w in vocabulary})
     texts = ["", "MIT License mit license", "Apache  License gnu general public license"]
-    for t in licenses.TEMPLATES:
+    for t in licenses.template_words():
         w = t.split()
         for drop in range(4):
             keep = [x for i, x in enumerate(w) if i not in set(rng.choice(len(w), min(drop, len(w)), replace=False))]
@@ -297,6 +333,23 @@ def test_licenses_against_brute_force(spark):
         n, places, found = brute_scan(text, scanner)
         assert len(words) == n and scanner.places(words) == places
         assert scanner.matches(words) == pytest.approx(found)
+    assert scanner.followed < scanner.hits
+
+
+def test_license_places_prune():
+    """A rare word among words that rank before it is not followed up; among enough that rank after it, it is."""
+    scanner = licenses.Scanner({w: i for i, w in enumerate("a b c d e f g h i j".split())}, {"a b c d e": "x", "f g h i j": "y"})
+    cases = {"b a a b": 0, "f a b c d e": 2, "a b c d": 2, "g a b c h": 2, "f": 0, "f g h i": 2}
+    for text, least in cases.items():
+        scanner.hits = scanner.followed = 0
+        words = text.encode().split()
+        _, _, found = brute_scan(text, scanner)
+        assert scanner.matches(words) == pytest.approx(found)
+        assert scanner.followed >= (least if found else 0)
+    scanner.hits = scanner.followed = 0
+    scanner.matches(b"f g a b c".split())
+    # y: only f and g are there and nothing ranks after them; x: all of c, d and e could still follow a, b
+    assert scanner.hits == 4 and scanner.followed == 2
 
 
 def test_licenses_odd_rows(spark, odd):
@@ -392,6 +445,54 @@ def test_html_surge_decides_over_article_elements():
     assert html_extract.main_text(page) == body + " End."
 
 
+def brute_runs(weights, window=3):
+    """Surge and dive by definition: runs of lines whose windows hold weight, from a line of weight on."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    out, i = [], 0
+    while i < len(weights):
+        if sums[i] and weights[i]:
+            j = i
+            while j < len(weights) and sums[j]:
+                j += 1
+            out.append((i, j, max(sums[i:j])))
+            i = j
+        else:
+            i += 1
+    return out
+
+
+def test_html_unmarked_pages_against_surge_and_dive():
+    """Pages of bare divs: only the lengths of their lines and links say what is text."""
+    rng = np.random.default_rng(12)
+    chosen = 0
+    for _ in range(400):
+        rows = []
+        for _ in range(int(rng.integers(1, 25))):
+            n = int(rng.choice([0, 0, 3, 20, 150]))
+            linked = int(rng.choice([0, 0, 1, 5]))
+            rows.append((" ".join(f"t{rng.integers(9)}" for _ in range(n)), " ".join(f"l{rng.integers(9)}" for _ in range(linked))))
+        page = "".join(f"<div>{t} <a href=x>{k}</a></div>" if k else f"<div>{t}</div>" for t, k in rows)
+        rows = [(f"{t} {k}".strip(), len(t) + 1 if t and k else len(t)) for t, k in rows if t or k]
+        found = brute_runs([w for _, w in rows])
+        top = max((p for *_, p in found), default=0)
+        want = " ".join(s for a, b, p in found if p >= html_extract.SURGE * top for s, _ in rows[a:b])
+        assert html_extract.main_text(page) == want
+        chosen += want != " ".join(s for s, _ in rows)
+    assert chosen > 100  # leaving out the choice of runs would change these pages
+
+
+def test_html_class_words_do_not_delete_dense_text():
+    body = "A paragraph of the article that is long enough to be read as text by anyone. " * 3
+    for mark in ("id=discussion", "class=response", 'class="legal"', "class=feedback"):
+        page = f"<article><p>{body}</p><section {mark}><p>{body}</p><p>{body}</p></section><div {mark}>Short</div><p>End.</p></article>"
+        text = html_extract.main_text(page)
+        assert text == " ".join([body.strip()] * 3 + ["End."]) or text == " ".join([body.strip()] * 3 + ["Short", "End."])
+        assert html_extract.main_text(f"<article><p>{body}</p><div {mark}>Short</div><p>End.</p></article>") == body.strip() + " End."
+        assert html_extract.main_text(f"<article><p>{body}</p></article><section {mark}><p>{body}</p></section>") == body.strip()
+    assert html_extract.main_text(f"<article><p>{body}</p><section class=comments><p>{body}</p></section></article>") == body.strip()
+    assert html_extract.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>") == "So x=1 holds."
+
+
 def test_html_odd_rows(spark):
     rows = [(1, None, None, 3), (1, "u", "", 3), (None, "u", "<article><p>x</p></article>", 3), (2, "u", "<p>" + "long text " * 50000, 3)]
     got = {(r.page_id, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
