@@ -10,7 +10,8 @@ one for the remainder, so no source misses its target for being small.
 Documents are exploded by their counts and dealt out by a random key, which
 shuffles them globally.
 
-Cases: a null source is the source ``""``; null and empty texts weigh one byte
+Cases: a weighted source that the table doesn't have gives its share to the others
+in proportion, as does the rest if every source is weighted; a null source is the source ``""``; null and empty texts weigh one byte
 so that they can be drawn; repeated rows of one doc_id draw the same count; a
 null doc_id is replaced by a digest of the text; an empty table gives an empty
 one.  Other columns are carried through, whatever their names; the two columns
@@ -71,7 +72,8 @@ def rates(docs: DataFrame, weights: dict[str, float], budget: float) -> dict[str
     total = sum(got.values())
     rest = max(0.0, 1.0 - sum(weights.values()))
     shares = {**weights, None: rest}
-    return {s: budget * shares[s] * total / got[s] for s in got}
+    present = sum(shares[s] for s in sorted(got, key=str))
+    return {s: budget * shares[s] / present * total / got[s] if present else 0.0 for s in got}
 
 
 def further(rate: float) -> int:
