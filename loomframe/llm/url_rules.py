@@ -3,8 +3,11 @@
 A url is a basket of tokens: its scheme, host labels, path words, file ending,
 query keys and whether it has a fragment; digits are masked.  Spark's FP-growth
 mines the labelled urls together with their label for frequent combinations.
-Rules that lead to the label "block" are kept when confident and frequent enough,
-whatever their length or number, and when no shorter such rule lies within them.
+Rules that lead to the label "block" are kept when confident and frequent enough
+and more often right than the labels are "block" at all, whatever their length or
+number, and when no shorter such rule lies within them.  Tokens that are a rule by
+themselves are found by counting and take no part in the mining, as every longer
+rule with them holds a shorter one.
 Rules are matched by an inverted index: each is filed under its rarest token
 among the rules, joined with the urls that have it, and holds when they have all
 its tokens.
@@ -14,7 +17,10 @@ decides.  Everything is DataFrame operations.
 
 Cases: a null url or one without ``://`` has an empty host and path, no tokens and is
 allowed; without labels nothing is mined; repeated rows of a page_id are judged
-one by one; other columns are ignored, whatever their names.
+one by one; a long url has more tokens but is one basket; of several rules the most
+confident is named, of tied ones the last by its name; other columns are ignored,
+whatever their names.  The pages must be a table read from files, so that
+its rows come in the same order each time they are read.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 from loomframe.llm.common import fresh
 from loomframe.session import durable
 
-#: Least share of labelled urls under a rule with its label, least confidence.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+#: Least share and number of labelled urls under a rule with its label, least confidence.
+MIN_SUPPORT, MIN_URLS, MIN_CONFIDENCE = 0.002, 5, 0.6
 #: Rules with up to so many tokens in all are broadcast; more are dealt out by their token.
 BROADCAST_TOKENS = 100_000
 
@@ -82,26 +88,39 @@ def filed(rules: DataFrame) -> DataFrame:
     return rules.join(rarest.select("rule_id", F.col("key.token").alias("token")), "rule_id")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_urls: int = MIN_URLS) -> DataFrame:
     """Rules (rule_id, antecedent, confidence, support) that lead to the label, none of which holds a shorter one."""
     spark = labelled.sparkSession
     mark = "label=block"
-    rows = labelled.where("url is not null and blocked is not null").withColumn("basket", tokens(F.col("url"))).where(F.size("basket") > 0)
-    baskets = rows.select(F.when(F.col("blocked"), F.array_append("basket", F.lit(mark))).otherwise(F.col("basket")).alias("items"))
-    schema = "rule_id string, antecedent array<string>, confidence double, support double"
-    if baskets.isEmpty():
-        return spark.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == mark))
-    found = durable(found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
-    # most rules hold a single token that is a rule; the others are compared with those that share a token
-    single = found.where(F.size("antecedent") == 1).select(F.element_at("antecedent", 1).alias("token"))
-    held = found.where(F.size("antecedent") > 1).select("rule_id", F.explode("antecedent").alias("token")).join(single, "token").select("rule_id").distinct()
-    rest = durable(found.join(held, "rule_id", "left_anti"), "url-rules-left")
-    longer = rest.where(F.size("antecedent") > 2).select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
-    shorter = filed(rest.where(F.size("antecedent") > 1)).select("token", F.col("antecedent").alias("within"))
+    rows = labelled.where("url is not null and blocked is not null").withColumn("items", tokens(F.col("url"))).where(F.size("items") > 0)
+    rows = durable(rows.select("blocked", "items"), "url-baskets")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("hit")).first()
+    n, rate = total["n"], total["hit"] / max(total["n"], 1)
+    if not total["hit"]:
+        return spark.createDataFrame([], "rule_id string, antecedent array<string>, confidence double, support double")
+    least = max(min_support, min_urls / n)
+    each = rows.select("blocked", F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("hit"))
+    sure = (F.col("hit") >= F.ceil(F.lit(least) * n - 1e-9)) & (F.col("hit") / F.col("n") >= min_confidence) & (F.col("hit") / F.col("n") > rate)
+    single = durable(each.where(sure).select("token", (F.col("hit") / F.col("n")).alias("confidence"), (F.col("hit") / n).alias("support")), "url-tokens")
+    # baskets without the tokens that are rules, dealt out by number as equal baskets are many
+    numbered = durable(rows.withColumn("basket", F.monotonically_increasing_id()), "url-numbered")
+    left = numbered.select("basket", "blocked", F.explode("items").alias("token")).join(single.select("token"), "token", "left_anti")
+    left = left.groupBy("basket", "blocked").agg(F.collect_list("token").alias("items"))  # a url's tokens
+    baskets = left.select(F.when(F.col("blocked"), F.array_append("items", F.lit(mark))).otherwise(F.col("items")).alias("items"))
+    ones = single.select(F.col("token").alias("rule_id"), F.array("token").alias("antecedent"), "confidence", "support")
+    # baskets without open tokens are gone, so the share is of what is left
+    open_baskets = left.count()
+    if not open_baskets:
+        return ones
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / open_baskets * (1 - 1e-12)), minConfidence=min_confidence).fit(baskets).associationRules
+    found = found.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == mark) & (F.col("confidence") > rate))
+    found = found.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * open_baskets / n).alias("support"))
+    found = durable(found, "url-rules")
+    longer = found.where(F.size("antecedent") > 2).select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
+    shorter = filed(found).select("token", F.col("antecedent").alias("within"))
     inside = (F.size("within") < F.size("antecedent")) & (F.size(F.array_except("within", "antecedent")) == 0)
-    return rest.join(longer.join(shorter, "token").where(inside).select("rule_id").distinct(), "rule_id", "left_anti")
+    kept = found.join(longer.join(shorter, "token").where(inside).select("rule_id").distinct(), "rule_id", "left_anti")
+    return ones.unionByName(kept.select(*ones.columns))
 
 
 def listed(h: Column, p: Column, rules: tuple = RULES) -> Column:
