@@ -7,9 +7,9 @@ of nearly equal bytes, so a shard covers a small box in every dimension and a
 reader can skip shards by the minima and maxima of their files.
 
 Rows of equal text take the place of the group's first row (by doc_id), so
-copies lie side by side, and a cut falls between groups: a group of up to
-WHOLE of a shard's share goes to one shard whole.  Larger groups are cut like
-other rows.
+copies lie side by side.  Shards of whole rows are unequal anyway by up to the
+largest row; a group of no more bytes than that, or than SLACK of a shard, goes to
+one shard whole.  A larger group may be cut, where a shard ends within it.
 
 The order is made by range partitioning with doc_id as the last key, so a hot
 group or cell spreads over partitions; positions come from sums over
@@ -31,13 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm.common import fresh
-from loomframe.session import durable
+from loomframe.session import durable, release
 
 BITS = 5
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-#: Share of a shard's bytes up to which a group of equal texts is kept whole.
-WHOLE = 0.01
+#: Share of a shard's bytes by which keeping a group whole may move a cut.
+SLACK = 0.05
+#: Rows that one task writes.
+WRITE_ROWS = 100_000
 
 
 def text_prefix(c: Column) -> Column:
@@ -90,12 +92,12 @@ def _facts(docs: DataFrame) -> DataFrame:
 DIMENSIONS = ("source_key", "lang_key", "size", "doc_id")
 
 
-def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, whole: float = WHOLE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot and the curve index of every row."""
     facts = durable(_facts(docs), "hilbert-facts")
     spark = docs.sparkSession
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    totals = facts.agg(F.sum("size").alias("bytes"), *(F.percentile_approx(d, F.array(*map(F.lit, steps)), 20000).alias(d) for d in DIMENSIONS)).first()
+    totals = facts.agg(F.sum("size").alias("bytes"), F.max("size").alias("largest"), *(F.percentile_approx(d, F.array(*map(F.lit, steps)), 20000).alias(d) for d in DIMENSIONS)).first()
     if totals["bytes"] is None:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, shard int, slot long, hilbert long")
     bounds = [np.unique(np.array(totals[d] or [], np.int64)) for d in DIMENSIONS]
@@ -105,7 +107,7 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, whole: float = WH
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source_key", "lang_key"))
     groups = facts.groupBy(*group).agg(F.sum("size").alias("group_bytes"), first.alias("f"))
     groups = groups.select(*group, "group_bytes", F.col("f.source_key").alias("k0"), F.col("f.lang_key").alias("k1"), F.col("f.doc_id").alias("k3"))
-    limit = whole * total / shards
+    limit = max(slack * total / shards, totals["largest"])
     # a group to be kept whole sorts and is cut as one unit
     groups = groups.withColumn("unit", F.when(F.col("group_bytes") <= limit, 1).otherwise(0))
 
@@ -122,7 +124,7 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, whole: float = WH
     # rows of a unit share their key and so lie in one partition; others are told apart by their id
     rows = rows.withColumn("spread", F.when(F.col("unit") == 1, 0).otherwise(F.xxhash64("doc_id")))
     order = ["hilbert", *group, "spread"]
-    placed = durable(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "hilbert-order")
+    placed = placed_rows = durable(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "hilbert-order")
     sums = {r["part"]: (int(r["n"]), int(r["b"])) for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()}
     before, n, b = [], 0, 0
     for p in sorted(sums):
@@ -139,15 +141,17 @@ def shard(docs: DataFrame, shards: int = 40, bits: int = BITS, whole: float = WH
     centre = F.when(F.col("unit") == 1, 2 * (F.col("start") + F.col("b0")) + F.col("group_bytes")).otherwise(2 * (F.col("at") + F.col("b0")) + F.col("size"))
     cut = F.least(F.floor(centre * F.lit(shards) / F.lit(2 * total)), F.lit(shards - 1)).cast("int")
     numbered = durable(placed.select("doc_id", "size", "text_crc32", cut.alias("shard"), "number", "hilbert"), "hilbert-shards")
+    for done in (facts, placed_rows):
+        release(done)
     first_of = numbered.groupBy("shard").agg(F.min("number").alias("first"))  # a row for each shard
     return numbered.join(F.broadcast(first_of), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("number") - F.col("first")).alias("slot"), "hilbert")
 
 
-def write(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents in one folder for each shard; doc_id must be a key of ``docs``."""
-    own = fresh(docs, "shard")
-    named = placed.select("doc_id", F.col("shard").alias(own))
-    docs.join(named, "doc_id").repartition(own).sortWithinPartitions(own, "doc_id").write.partitionBy(own).parquet(path)
+def write(docs: DataFrame, placed: DataFrame, path: str, rows_per_task: int = WRITE_ROWS) -> None:
+    """Write whole documents in one folder for each shard, in files of runs of slots; doc_id must be a key of ``docs``."""
+    own, slot, piece = fresh(docs, "shard"), fresh(docs, "slot"), fresh(docs, "piece")
+    named = placed.select("doc_id", F.col("shard").alias(own), F.col("slot").alias(slot), F.floor(F.col("slot") / rows_per_task).alias(piece))
+    docs.join(named, "doc_id").repartition(own, piece).sortWithinPartitions(own, slot).drop(slot, piece).write.partitionBy(own).parquet(path)
 
 
 def ranges(docs: DataFrame, placed: DataFrame, columns: list[str]) -> DataFrame:
