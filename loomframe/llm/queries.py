@@ -24,7 +24,8 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents repeated to the target shares, in their shuffled order."""
     docs = table(spark, sf_dir, "documents")
     out = mixing.mix(docs, MIX_WEIGHTS, MIX_BUDGET, MIX_SEED)
-    return out.select("doc_id", "source", "lang", "mix_copy", "mix_key", "text")
+    copy, key = (c for c in out.columns if c not in docs.columns)
+    return out.select("doc_id", "source", "lang", F.col(copy).alias("mix_copy"), F.col(key).alias("mix_key"), "text")
 
 
 def op2_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,17 +92,19 @@ sized AS (
          coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS name
   FROM documents d LEFT JOIN weights w ON coalesce(d.source, '') = w.bucket),
 totals AS (SELECT bucket, sum(bytes)::BIGINT AS bytes FROM sized GROUP BY bucket),
+shares AS (SELECT t.bucket, t.bytes, coalesce(w.share, {rest!r}::DOUBLE) AS share FROM totals t LEFT JOIN weights w ON t.bucket = w.bucket),
 rates AS (
-  SELECT t.bucket, least({mixing.MAX_RATE}::DOUBLE, {MIX_BUDGET}::DOUBLE * coalesce(w.share, {rest!r}::DOUBLE) * (SELECT sum(bytes)::BIGINT FROM totals) / t.bytes) AS rate
-  FROM totals t LEFT JOIN weights w ON t.bucket = w.bucket),
-drawn AS (
-  SELECT s.*, r.rate, ('0x' || substr(md5('{MIX_SEED}:' || s.name), 1, {mixing.DIGITS}))::BIGINT / {float(16**mixing.DIGITS)!r}::DOUBLE AS u
-  FROM sized s JOIN rates r ON s.bucket IS NOT DISTINCT FROM r.bucket),
-steps AS (SELECT bucket, rate, k, exp(-rate) * power(rate, k) / gamma(k + 1.0) AS p FROM rates, range(0, 80) AS t(k)),
-cdf AS (SELECT bucket, k, sum(p) OVER (PARTITION BY bucket ORDER BY k) AS f FROM steps),
-counted AS (
-  SELECT d.doc_id, d.source, d.lang, d.text, d.name, (SELECT count(*) FROM cdf c WHERE c.bucket IS NOT DISTINCT FROM d.bucket AND d.u >= c.f) AS n
-  FROM drawn d)
+  SELECT bucket, {MIX_BUDGET}::DOUBLE * (share / (SELECT sum(share) FROM shares)) * (SELECT sum(bytes)::BIGINT FROM totals) / bytes AS rate FROM shares),
+parts AS (SELECT bucket, CAST(greatest(0, ceil(rate / {mixing.MAX_RATE}::DOUBLE) - 1) AS INTEGER) AS more, rate - {mixing.MAX_RATE}::DOUBLE * greatest(0, ceil(rate / {mixing.MAX_RATE}::DOUBLE) - 1) AS rate FROM rates),
+draws AS (
+  SELECT s.name, s.bucket, p.rate, '{MIX_SEED}:' || s.name AS seed FROM sized s JOIN parts p ON s.bucket IS NOT DISTINCT FROM p.bucket
+  UNION ALL SELECT s.name, s.bucket, {mixing.MAX_RATE}::DOUBLE, '{MIX_SEED}+' || j || ':' || s.name
+  FROM sized s JOIN parts p ON s.bucket IS NOT DISTINCT FROM p.bucket, LATERAL (SELECT unnest(range(1, p.more + 1)) AS j)),
+drawn AS (SELECT DISTINCT name, bucket, rate, seed, ('0x' || substr(md5(seed), 1, {mixing.DIGITS}))::BIGINT / {float(16**mixing.DIGITS)!r}::DOUBLE AS u FROM draws),
+steps AS (SELECT rate, k, exp(-rate) * power(rate, k) / gamma(k + 1.0) AS p FROM (SELECT DISTINCT rate FROM drawn), range(0, 80) AS t(k)),
+cdf AS (SELECT rate, k, sum(p) OVER (PARTITION BY rate ORDER BY k) AS f FROM steps),
+numbers AS (SELECT name, bucket, sum((SELECT count(*) FROM cdf c WHERE c.rate = d.rate AND d.u >= c.f)) AS n FROM drawn d GROUP BY name, bucket),
+counted AS (SELECT s.doc_id, s.source, s.lang, s.text, s.name, CAST(m.n AS BIGINT) AS n FROM sized s JOIN numbers m ON m.name = s.name AND m.bucket IS NOT DISTINCT FROM s.bucket)
 SELECT doc_id, source, lang, CAST(copy AS INTEGER) AS mix_copy,
        md5('{MIX_SEED}/' || name || '/' || CAST(copy AS VARCHAR)) AS mix_key, text
 FROM counted, range(0, counted.n) AS r(copy)"""
@@ -115,7 +118,7 @@ FROM clean WINDOW same AS (PARTITION BY body)"""
 
 
 def _url_sql() -> str:
-    """Itemsets of one and two tokens with their labels, counted by brute force."""
+    """Itemsets of any length with their labels, grown token by token in the order of the tokens and counted by brute force."""
     fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
     longest = sorted(url_rules.RULES, key=lambda r: -len(r[1]) - len(r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest) + " END"
@@ -124,7 +127,7 @@ def _url_sql() -> str:
     masked = lambda c: f"regexp_replace({lower(c)}, '[0-9]+', '9', 'g')"
     words = lambda prefix, c, by: f"list_transform(list_filter(string_split({c}, '{by}'), lambda x: x <> ''), lambda x: '{prefix}' || x)"
     return rf"""
-WITH cut AS (
+WITH RECURSIVE cut AS (
   SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 split AS (
   SELECT *, coalesce({lower("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host,
@@ -144,15 +147,21 @@ marked AS (
   SELECT b.rid, f.blocked FROM baskets b JOIN flags f
   ON f.doc_id = TRY_CAST(regexp_extract(b.url, '://[^/]*/[^/]*/([0-9]{{1,18}})', 1) AS BIGINT)),
 total AS (SELECT count(*) AS n FROM marked),
+least AS (SELECT greatest(ceil({url_rules.MIN_SUPPORT!r}::DOUBLE * n), {url_rules.MIN_URLS}) AS hits FROM total),
+base AS (SELECT count(*) FILTER (WHERE blocked) / count(*)::DOUBLE AS rate FROM marked),
 lt AS (SELECT m.rid, m.blocked, t.token FROM marked m JOIN tok t ON t.rid = m.rid),
-one AS (SELECT token AS a, NULL AS b, count(*) AS n, count(*) FILTER (WHERE blocked) AS hit FROM lt GROUP BY token),
-two AS (SELECT x.token AS a, y.token AS b, count(*) AS n, count(*) FILTER (WHERE x.blocked) AS hit FROM lt x JOIN lt y ON x.rid = y.rid AND x.token < y.token GROUP BY x.token, y.token),
-good1 AS (SELECT a, b, hit / one.n::DOUBLE AS confidence FROM one, total WHERE hit >= ceil({url_rules.MIN_SUPPORT!r}::DOUBLE * total.n) AND hit / one.n::DOUBLE >= {url_rules.MIN_CONFIDENCE!r}::DOUBLE),
-good2 AS (SELECT a, b, hit / two.n::DOUBLE AS confidence FROM two, total WHERE hit >= ceil({url_rules.MIN_SUPPORT!r}::DOUBLE * total.n) AND hit / two.n::DOUBLE >= {url_rules.MIN_CONFIDENCE!r}::DOUBLE
-  AND a NOT IN (SELECT a FROM good1) AND b NOT IN (SELECT a FROM good1)),
-hits AS (
-  SELECT t.rid, g.confidence, g.a AS rule_id FROM tok t JOIN good1 g ON t.token = g.a
-  UNION ALL SELECT t.rid, g.confidence, g.a || ' ' || g.b FROM tok t JOIN good2 g ON t.token = g.a JOIN tok u ON u.rid = t.rid AND u.token = g.b),
+one AS (SELECT token, count(*) AS n, count(*) FILTER (WHERE blocked) AS hit FROM lt GROUP BY token),
+good1 AS (SELECT [token] AS items, hit / n::DOUBLE AS confidence FROM one, least, base WHERE hit >= hits AND hit / n::DOUBLE >= {url_rules.MIN_CONFIDENCE!r}::DOUBLE AND hit / n::DOUBLE > rate),
+open_tok AS (SELECT lt.rid, lt.token FROM lt JOIN one USING (token), least WHERE blocked AND hit >= hits AND token NOT IN (SELECT items[1] FROM good1)),
+grown AS (
+  SELECT rid, [token] AS items FROM open_tok
+  UNION ALL SELECT rid, items FROM (SELECT g.rid, list_append(g.items, t.token) AS items, count(*) OVER (PARTITION BY list_append(g.items, t.token)) AS hit
+    FROM grown g JOIN open_tok t ON t.rid = g.rid AND t.token > g.items[-1]) WHERE hit >= (SELECT hits FROM least)),
+cand AS (SELECT items, count(*) AS hit FROM grown WHERE len(items) > 1 GROUP BY items),
+several AS (SELECT c.items, any_value(c.hit) / count(*)::DOUBLE AS confidence FROM cand c JOIN (SELECT b.items FROM marked m JOIN baskets b ON b.rid = m.rid) x ON list_has_all(x.items, c.items) GROUP BY c.items),
+good2 AS (SELECT items, confidence FROM several, base WHERE confidence >= {url_rules.MIN_CONFIDENCE!r}::DOUBLE AND confidence > rate),
+good AS (SELECT * FROM good1 UNION ALL SELECT * FROM good2 g WHERE NOT EXISTS (SELECT 1 FROM good2 h WHERE len(h.items) < len(g.items) AND list_has_all(g.items, h.items))),
+hits AS (SELECT b.rid, g.confidence, array_to_string(g.items, ' ') AS rule_id FROM baskets b JOIN good g ON list_has_all(b.items, g.items)),
 best AS (SELECT rid, max({{'c': confidence, 'r': rule_id}}).r AS mined_rule FROM hits GROUP BY rid),
 joined AS (SELECT s.*, b.mined_rule FROM split s LEFT JOIN best b ON s.rid = b.rid)
 SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, mined_rule FROM joined"""

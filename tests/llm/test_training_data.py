@@ -99,6 +99,9 @@ def test_mixing_odd_rows(spark, odd):
     by = Counter(r.mix_copy for r in got.where("doc_id = 1").collect())
     assert all(v == 2 for v in by.values())  # repeated rows draw alike
     assert mixing.mix(odd.where("false"), {"a": 0.5}).count() == 0
+    # an absent source's share goes to the others
+    with_absent, without = mixing.rates(odd, {"a": 0.4, "none": 0.2}, 2.0), mixing.rates(odd, {"a": 0.5}, 2.0)
+    assert with_absent == pytest.approx(without)
 
 
 # 2 packing
@@ -270,7 +273,7 @@ def test_url_rules_of_any_length(spark):
         pick = [parts[i][n >> i & 1] for i in range(3)]
         rows += [(f"http://{pick[0]}.test/{pick[1]}/x{pick[2]}", n == 0)] * 10
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
-    rules = url_rules.mine(labelled, min_support=0.05)
+    rules = saved_as(url_rules.mine(labelled, min_support=0.05))
     assert {tuple(r.antecedent) for r in rules.collect()} == {("e:.html", "h:casino", "p:de")}
     pages = spark.createDataFrame([(1, "https://casino.other/de/y.html"), (2, "https://casino.other/en/y.html")], "page_id long, url string")
     for most in (100, 0):
@@ -290,10 +293,36 @@ def test_url_rules_against_all_itemsets(spark):
             if sum(hit) >= math.ceil(0.02 * len(sets)) and sum(hit) / len(hit) >= 0.75 and not any(g < set(c) for g in good):
                 good.append(set(c))
     assert max(map(len, good)) > 2
-    got = url_rules.mine(spark.createDataFrame(rows, "url string, blocked boolean"), 0.02, 0.75)
+    got = url_rules.mine(saved(spark, rows, "url string, blocked boolean"), 0.02, 0.75)
     assert {frozenset(r.antecedent) for r in got.collect()} == {frozenset(g) for g in good}
 
 
+def test_url_rules_need_several_urls_and_take_long_ones(spark):
+    long = "http://h.test/" + "/".join(f"word{i}" for i in range(3000)) + "?q=" + "x" * 100_000
+    rows = [(f"http://once{i}.test/a", True) for i in range(3)] + [(f"http://fine.test/{i}", False) for i in range(20)] + [(long, True)]
+    rules = url_rules.mine(saved(spark, rows, "url string, blocked boolean"))
+    assert rules.count() == 0  # no rule rests on a url or two
+    # equally confident rules: the last by its name is named, and only rules better than the labels at large count
+    rows = [("http://bad.test/x", True)] * 9 + [("http://fine.test/y", False)] * 9
+    rules = url_rules.mine(saved(spark, rows, "url string, blocked boolean"))
+    assert {r.rule_id for r in rules.collect()} == {"h:bad", "p:x"}
+    pages = saved(spark, [(1, "http://bad.test/x"), (1, "http://bad.test/x"), (2, long), (3, long.replace("h.test", "bad.test"))], "page_id long, url string")
+    got = rows_of(url_rules.judge(pages, rules, ()), "page_id", "verdict", "mined_rule")
+    assert got == [(1, "block", "p:x"), (1, "block", "p:x"), (2, "allow", None), (3, "block", "h:bad")]
+
+
+def test_url_rules_held_out(spark):
+    """Rules mined on half of the labelled urls block the other half's mostly rightly."""
+    labelled = saved_as(queries.labelled_urls(spark, "/root/testdata/sf0.1"))
+    half = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    rules = url_rules.mine(saved_as(labelled.where(half)))
+    rest = saved_as(labelled.where(~half).withColumn("page_id", F.monotonically_increasing_id()))
+    got = url_rules.judge(rest, rules, ()).join(rest, "page_id").where("verdict = 'block'")
+    blocked = [r.blocked for r in got.select("blocked").collect()]
+    base = rest.agg(F.avg(F.col("blocked").cast("int")).alias("b")).first().b
+    assert not blocked or sum(blocked) / len(blocked) > base
+
+
 # 5 licenses
 
 
@@ -717,6 +746,36 @@ def test_shards_obey_the_law(spark):
     assert set(by.index) <= set(range(40)) and (by - got["size"].sum() / 40).abs().max() <= got["size"].max()
 
 
+def test_shards_follow_the_curve_and_keep_groups(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = queries.table(spark, sf, "documents")
+    got = hilbert.shard(docs).toPandas().sort_values(["shard", "slot"])
+    assert (np.diff(got["hilbert"]) >= 0).all()
+    by = got.groupby("shard")["size"].sum()
+    limit = max(hilbert.SLACK * got["size"].sum() / 40, got["size"].max())
+    assert (by - got["size"].sum() / 40).abs().max() <= limit
+    text = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("m")).toPandas()
+    both = got.merge(text, on="doc_id").groupby("m").agg(b=("size", "sum"), shards=("shard", "nunique"), n=("size", "size"))
+    assert (both[both["n"] > 1]["b"] <= limit).any() and (both[both["b"] <= limit]["shards"] == 1).all()
+
+
+def test_shards_of_a_hot_group_and_a_long_text(spark, tmp_path):
+    rows = [(i, "same text " * 20, "en", "a") for i in range(600)] + [(i, f"text {i} " * 20, "de", "b") for i in range(600, 1200)] + [(1200, "long " * 200_000, "fr", "c")]
+    docs = saved(spark, rows, "doc_id long, text string, lang string, source string")
+    got = hilbert.shard(docs, shards=4).toPandas()
+    assert sorted(got["doc_id"]) == list(range(1201))
+    by = got.groupby("shard")["size"].sum()
+    assert by.max() >= 1_000_000 and got[got["doc_id"] == 1200]["shard"].nunique() == 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    small = docs.where("doc_id < 1200")
+    placed = saved_as(hilbert.shard(small, shards=4))
+    by = placed.groupBy("shard").agg(F.sum("size").alias("b")).toPandas()["b"]
+    assert by.max() - by.min() <= 2 * max(hilbert.SLACK * by.sum() / 4, 400)  # the hot group is cut where a shard ends
+    hilbert.write(small, placed, str(tmp_path / "out"), rows_per_task=50)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1200
+
+
 def test_shards_prune_and_odd_rows(spark, odd, tmp_path):
     sf = "/root/testdata/sf0.1"
     docs = queries.table(spark, sf, "documents")
