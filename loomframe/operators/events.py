@@ -9,11 +9,14 @@ each segment emits how its count changes as the threshold falls past a score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.operators.running import Ordered
 from loomframe.session import spread
 
 GAP, CAP = 2, 25
@@ -61,68 +64,81 @@ def uncapped_steps(frames: DataFrame, gap: int = GAP) -> DataFrame:
     return up.unionAll(down).groupBy("tau").agg(F.sum("delta").alias("delta"))
 
 
-def segment_steps(frame: np.ndarray, score: np.ndarray, seg: np.ndarray, cap: int, gap: int, unit: np.ndarray | None = None, most: int | None = None) -> dict:
+def segment_steps(frame: np.ndarray, score: np.ndarray, seg: np.ndarray, cap: int, gap: int, unit: np.ndarray | None = None, most: int | None = None) -> tuple:
     """Changes of the event count as the threshold falls, over normal frames of one scenario in order.
 
-    Frames enter by falling score; the nearest alarm on either side within
-    reach decides what they join (any further one is already linked to it).
-    Returns {tau: change}, or {(tau, unit): change} with each event at the unit
-    of its first frame.  With ``most`` the walk ends at the first threshold with
-    more events than that: counts of several scenarios only add up, so whatever
-    bounds their sum by ``most`` never looks below it.
+    Frames enter by falling score.  An alarm joins the nearest alarm on either
+    side within reach, which is the end of its run, so a run is known by what its
+    two ends say about each other.  Returns arrays (tau, change), or (tau, unit,
+    change) with each event at the unit of its first frame; values may repeat.
+    With ``most`` the walk ends at the first threshold with more events than that:
+    counts of several scenarios only add up, so whatever bounds their sum by
+    ``most`` never looks below it.
     """
     n = len(frame)
-    f, g = frame.tolist(), seg.tolist()
-    u = dict(zip(f, unit.tolist(), strict=True)) if unit is not None else None
-    group: dict[int, int] = {}
-    lo: dict[int, int] = {}
-    hi: dict[int, int] = {}
-    out: dict = {}
-
-    def find(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    def near(i: int, step: int) -> int:
-        j = i + step
-        while 0 <= j < n and g[j] == g[i] and abs(f[j] - f[i]) <= gap + 1:
-            if j in group:
-                return find(j)
-            j += step
-        return -1
-
-    def put(tau: float, root: int, sign: int) -> int:
-        a, b = lo[root], hi[root]
-        size = (b - a + cap) // cap
-        if u is None:
-            out[tau] = out.get(tau, 0) + sign * size
-        else:
-            for start in range(a, b + 1, cap):
-                key = (tau, u[start])
-                out[key] = out.get(key, 0) + sign
-        return sign * size
+    f = frame.tolist()
+    # how many places to the left and right of a frame another one may lie that it is linked to
+    reach = np.arange(1, gap + 2)
+    rows = np.arange(n)
+    near = np.zeros((2, n), np.int64)
+    for side, sign in enumerate((-1, 1)):
+        for k in reach.tolist():
+            to = np.clip(rows + sign * k, 0, n - 1)
+            near[side] += (to == rows + sign * k) & (seg[to] == seg) & (np.abs(frame[to] - frame) <= gap + 1)
+    back, ahead = near.tolist()
+    other = [-1] * n  # of a run's two ends, the other one
+    taus, units, changes = [], [], []
+    own = None if unit is None else dict(zip(f, unit.tolist(), strict=True))
+
+    def put(tau: float, lo: int, hi: int, sign: int) -> int:
+        if own is None:
+            size = (f[hi] - f[lo] + cap) // cap
+            taus.append(tau)
+            changes.append(sign * size)
+            return sign * size
+        starts = range(f[lo], f[hi] + 1, cap)
+        for start in starts:
+            taus.append(tau)
+            units.append(own[start])
+            changes.append(sign)
+        return sign * len(starts)
 
     total, before = 0, None
-    for i in np.argsort(-score, kind="stable"):
-        i, tau = int(i), float(score[i])
+    for i, tau in _falling(score, most):
         if most is not None and total > most and tau != before:
             break
         before = tau
-        left, right = near(i, -1), near(i, 1)
-        out.setdefault(tau if u is None else (tau, u[f[i]]), 0)
-        if left == right and left >= 0:
-            group[i] = left
+        j = next((i - k for k in range(1, back[i] + 1) if other[i - k] >= 0), -1)
+        k = next((i + k for k in range(1, ahead[i] + 1) if other[i + k] >= 0), -1)
+        if j >= 0 and k >= 0 and f[k] - f[j] <= gap + 1:
+            # inside a run: it is an alarm that nothing further is linked to
+            other[i] = i
             continue
-        group[i], lo[i], hi[i] = i, f[i], f[i]
-        for other in (left, right):
-            if other >= 0:
-                total += put(tau, other, -1)
-                group[other] = i
-                lo[i], hi[i] = min(lo[i], lo[other]), max(hi[i], hi[other])
-        total += put(tau, i, 1)
-    return out
+        lo = hi = i
+        if j >= 0:
+            lo = other[j]
+            total += put(tau, lo, j, -1)
+        if k >= 0:
+            hi = other[k]
+            total += put(tau, k, hi, -1)
+        other[i] = i
+        other[lo], other[hi] = hi, lo
+        total += put(tau, lo, hi, 1)
+    arrays = np.array(taus, float), np.array(changes, np.int64)
+    return arrays if own is None else (arrays[0], np.array(units), arrays[1])
+
+
+def _falling(score: np.ndarray, most: int | None) -> Iterator[tuple[int, float]]:
+    """(place, score) by falling score; with ``most`` the largest few are sorted first, as the walk may end among them."""
+    rest = np.arange(len(score))
+    if most is not None and len(score) > 8 * (most + 1):
+        cut = np.partition(score, len(score) - 4 * (most + 1))[len(score) - 4 * (most + 1)]
+        first = np.flatnonzero(score > cut)
+        first = first[np.argsort(-score[first], kind="stable")]
+        yield from zip(first.tolist(), score[first].tolist(), strict=True)
+        rest = np.flatnonzero(score <= cut)
+    rest = rest[np.argsort(-score[rest], kind="stable")]
+    yield from zip(rest.tolist(), score[rest].tolist(), strict=True)
 
 
 def steps(frames: DataFrame, keys: list[str] | None = None, cap: int = CAP, gap: int = GAP, unit: str | None = None, segments: int = SEGMENTS) -> DataFrame:
@@ -138,7 +154,11 @@ def steps(frames: DataFrame, keys: list[str] | None = None, cap: int = CAP, gap:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         got = segment_steps(pdf["frame"].to_numpy(), pdf["score"].to_numpy(float), pdf["seg"].to_numpy(), cap, gap, pdf[unit].to_numpy() if unit else None)
-        out = pd.DataFrame([(*(k if unit else (k,)), d) for k, d in got.items()], columns=names[len(keys) :])
+        out = pd.DataFrame(dict(zip(names[len(keys) :], got, strict=True)))
+        if not unit:
+            # every score is a threshold, also where the count stays
+            out = pd.concat([out, pd.DataFrame({"tau": pdf["score"].to_numpy(float), "delta": 0})])
+        out = out.groupby([c for c in out.columns if c != "delta"], as_index=False)["delta"].sum()
         for k in keys:
             out[k] = pdf[k].iloc[0]
         return out[names]
@@ -150,11 +170,9 @@ def steps(frames: DataFrame, keys: list[str] | None = None, cap: int = CAP, gap:
 
 
 def curve(steps_: DataFrame, keys: list[str] | None = None, unit: str | None = None) -> DataFrame:
-    """(keys, tau, [unit,] C): running sums of the steps.
-
-    Without keys the distinct scores pass through one task; they are as many as
-    the grid, not as the frames.
-    """
+    """(keys, tau, [unit,] C): running sums of the steps."""
     part = [*(keys or []), *([unit] if unit else [])]
-    w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
+    if not part:
+        return Ordered(steps_.select("tau", "delta"), "tau").sums({"C": "delta"}).rows.select("tau", "C")
+    w = Window.partitionBy(*part).orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
     return steps_.select(*part, "tau", F.sum("delta").over(w).alias("C"))

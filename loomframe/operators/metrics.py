@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomframe.operators import events
 from loomframe.operators.intervals import in_window
+from loomframe.operators.running import Ordered
 
 INFINITY = float("inf")
 
@@ -37,11 +38,11 @@ def _steps_of(values: DataFrame, value: str, name: str, keys: list[str], weight:
 
 
 def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """(keys, j, tau, C, E, detp, dett) at every threshold, from infinity down.
+    """(keys, j, tau, C, E, detp, dett, next_E) at every threshold, from infinity down.
 
     Each quantity is a step function of the threshold; the steps are united
-    and summed from above in one window, so no values are compared with
-    thresholds pair by pair.  ``weight`` counts passes other than by one.
+    and summed from above, so no values are compared with thresholds pair by
+    pair.  ``weight`` counts passes other than by one.
     """
     keys = keys or []
     parts = [
@@ -53,27 +54,35 @@ def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None,
     top = q.select(*keys, F.lit(INFINITY).alias("tau"), *zero).distinct() if keys else q.sparkSession.range(1).select(F.lit(INFINITY).alias("tau"), *zero)
     united = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(top)
     grid = united.groupBy(*keys, "tau").agg(*(F.sum(c).alias(c) for c in ("dc", "dp", "dt")))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("tau"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = grid.select(*keys, (F.row_number().over(w) - 1).alias("j"), "tau", F.sum("dc").over(upto).alias("C"), F.sum("dp").over(upto).alias("detp"), F.sum("dt").over(upto).alias("dett"))
-    return out.select(*keys, "j", "tau", "C", F.max("C").over(upto).alias("E"), "detp", "dett")
+    return accumulated(grid, keys)
 
 
-def metrics(curve: DataFrame, sizes: DataFrame, keys: list[str] | None = None, cap: int = 50, small: bool = True) -> DataFrame:
+def accumulated(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """The curve of a grid of changes (keys, tau, dc, dp, dt): running sums, the envelope E and the next row's."""
+    sums = {"C": "dc", "detp": "dp", "dett": "dt"}
+    if not keys:
+        rows = Ordered(grid, "tau").sums(sums, "j").greatest("C", "E").following("E", "next_E").rows
+    else:
+        w = Window.partitionBy(*keys).orderBy(F.desc("tau"))
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        rows = grid.withColumns({n: F.sum(c).over(upto) for n, c in sums.items()} | {"j": (F.row_number().over(w) - 1).cast("long")})
+        rows = rows.withColumn("E", F.max("C").over(upto)).withColumn("next_E", F.lead("E").over(w))
+    return rows.select(*keys, "j", "tau", "C", "E", "detp", "dett", "next_E")
+
+
+def metrics(curve: DataFrame, sizes: DataFrame, keys: list[str] | None = None, cap: int = 50) -> DataFrame:
     """P1, P2 and P3 as fractions, P1_censored and saturated.
 
     ``sizes`` has one row (for each key): nN normal frames, nP passes (or their
-    total weight) and nK tracks; it is broadcast if ``small``.  P1 is the alarm rate at the first threshold
+    total weight) and nK tracks.  P1 is the alarm rate at the first threshold
     that finds 4/5 of the passes; P2 the share of tracks found at the last one
     with at most 2 alarms per 1000 normal frames; P3 the mean share of passes
     found as the rate goes from 0 to 10 per 1000.
     """
     keys = keys or []
-    one = F.broadcast(sizes) if small or not keys else sizes
-    rows = curve.join(one, keys) if keys else curve.join(one)
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("j")
+    rows = curve.join(sizes, keys) if keys else curve.join(F.broadcast(sizes))  # one row without keys
     within = 100 * F.col("E") <= F.col("nN")
-    nxt = F.lead("E").over(w)
+    nxt = F.col("next_E")
     inner = within & F.coalesce(100 * nxt <= F.col("nN"), F.lit(False))
     area = F.when(inner, F.col("detp") * 1000 * (nxt - F.col("E"))).when(within, F.col("detp") * (10 * F.col("nN") - 1000 * F.col("E"))).otherwise(0)
     rows = rows.withColumn("area", area)
@@ -97,6 +106,26 @@ def metrics(curve: DataFrame, sizes: DataFrame, keys: list[str] | None = None, c
     )
 
 
+def track_shares(curve: DataFrame, q: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(track, share_num, share_den): each track's part of the track-balanced P3, which is their sum.
+
+    A pass counts at thresholds up to its score, so its part of the area is that
+    of the alarm rates from its score down.  Parts are whole numbers over one
+    denominator for each track, however many passes it has.
+    """
+    rows = curve.join(F.broadcast(sizes.select("nN")))  # one row
+    within = 100 * F.col("E") <= F.col("nN")
+    inner = within & F.coalesce(100 * F.col("next_E") <= F.col("nN"), F.lit(False))
+    width = F.when(inner, 1000 * (F.col("next_E") - F.col("E"))).when(within, 10 * F.col("nN") - 1000 * F.col("E")).otherwise(0).cast("long")
+    # scores of passes are thresholds of the curve; widths above a score are taken from the whole
+    upto = Ordered(rows.select("tau", width.alias("width")), "tau").sums({"above": "width"}).rows.select("tau", (F.col("above") - F.col("width")).alias("above"))
+    whole = rows.agg(F.sum(width).alias("whole"))
+    parts = q.join(upto, q["q"] == upto["tau"]).join(F.broadcast(whole))  # one row
+    by = parts.groupBy("track").agg(F.sum(F.col("whole") - F.col("above")).cast("long").alias("share_num"), F.count(F.lit(1)).alias("n"))
+    one = sizes.select((F.col("nN") * F.col("nK")).alias("m"))
+    return by.join(F.broadcast(one)).select("track", "share_num", (10 * F.col("n") * F.col("m")).cast("long").alias("share_den"))
+
+
 def sizes(frames: DataFrame, windows: DataFrame) -> DataFrame:
     """One row: nN, nP, nK."""
     a = frames.agg(F.sum(F.col("normal").cast("long")).alias("nN"))
@@ -115,10 +144,14 @@ def deployment_threshold(steps: DataFrame, normal: DataFrame, keys: list[str] |
     ``normal`` has n, the number of normal frames (of each key).
     """
     keys = keys or []
-    top = normal.select(*keys, F.lit(INFINITY).alias("tau"), F.lit(0).cast("long").alias("delta"))
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select(*keys, "tau", "delta").unionByName(top).withColumn("C", F.sum("delta").over(w)).withColumn("E", F.max("C").over(w))
-    rows = rows.join(F.broadcast(normal), keys) if keys else rows.join(F.broadcast(normal))
+    zero = F.lit(0).cast("long").alias("delta")
+    if not keys:
+        top = steps.sparkSession.range(1).select(F.lit(INFINITY).alias("tau"), zero)
+        rows = Ordered(steps.select("tau", "delta").unionByName(top), "tau").sums({"C": "delta"}).greatest("C", "E").rows.join(F.broadcast(normal))  # one row
+    else:
+        w = Window.partitionBy(*keys).orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, 0)
+        rows = steps.select(*keys, "tau", "delta").unionByName(normal.select(*keys, F.lit(INFINITY).alias("tau"), zero))
+        rows = rows.withColumn("C", F.sum("delta").over(w)).withColumn("E", F.max("C").over(w)).join(normal, keys)
     return rows.where(F.lit(per) * F.col("E") <= F.lit(most) * F.col("n")).groupBy(*keys).agg(F.min("tau").alias("threshold"), F.max("E").alias("events"))
 
 
@@ -134,12 +167,10 @@ def at_threshold(frames: DataFrame, windows: DataFrame, tau) -> DataFrame:
 def ranking_quality(frames: DataFrame) -> DataFrame:
     """Frame AUROC (ties by average rank) and AUPRC of score against ``positive``.
 
-    Counts are summed for each distinct score first, so the window holds the
-    distinct scores, not the frames.
+    Counts are summed for each distinct score first, then accumulated by range.
     """
     by = frames.groupBy("score").agg(F.sum(F.col("positive").cast("long")).alias("hits"), F.sum((~F.col("positive")).cast("long")).alias("misses"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = by.withColumn("tp", F.sum("hits").over(w)).withColumn("fp", F.sum("misses").over(w))
+    rows = Ordered(by, "score").sums({"tp": "hits", "fp": "misses"}).rows
     total = by.agg(F.sum("hits").alias("positives"), F.sum("misses").alias("negatives"))
     rows = rows.join(F.broadcast(total))  # one row
     # twice the pairs ranked right: all negatives below the score count two, ties one
