@@ -7,6 +7,9 @@ they run as one pass over each scenario.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,7 +80,7 @@ def least_threshold(counts: DataFrame, cfg: Motion = Motion(), by: list[str] | N
     return counts.groupBy(*(by or [])).agg(F.min(F.when(good, F.col("g"))).alias("tau_step"))
 
 
-def _median(values: list[float]) -> float:
+def _median(values: Iterable[float]) -> float:
     v = sorted(values)
     h = len(v) // 2
     return v[h] if len(v) % 2 else (v[h - 1] + v[h]) / 2
@@ -91,7 +94,7 @@ def _walk(pdf: pd.DataFrame, tau: float | None, cfg: Motion, sums: bool) -> pd.D
     with np.errstate(invalid="ignore"):
         basic = has & (r >= (np.inf if tau is None else tau)) & (np.abs(dx) <= cfg.max_abs_dx) & (np.abs(dy) <= cfg.max_abs_dy)
     status, used = np.zeros(len(pdf), np.int8), np.full(len(pdf), np.nan)
-    history: list[float] = []
+    history: deque[float] = deque(maxlen=cfg.consistency_window)
     last = -1
     for i in range(len(pdf)):
         ok = bool(basic[i]) and frame[i] > 1
@@ -100,7 +103,7 @@ def _walk(pdf: pd.DataFrame, tau: float | None, cfg: Motion, sums: bool) -> pd.D
             ok = ok and i > 0 and bool(basic[i - 1])
             value, rel = (dx[i] + dx[i - 1] if i else np.nan), rel / 2
         if ok and len(history) >= cfg.consistency_min_history:
-            med = _median(history[-cfg.consistency_window :])
+            med = _median(history)
             ok = abs(value - med) <= max(cfg.consistency_abs, rel * abs(med) if not sums else cfg.consistency_rel * abs(med) / 2)
         if ok:
             history.append(float(value))

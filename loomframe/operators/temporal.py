@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.scalars import lag_source
 from loomframe.session import spread
 
 NAMES = ("V0", "V1", "V2", "V4", "REV", "LAG", "ORA")
@@ -38,15 +39,8 @@ def warp(cells: DataFrame, shift: str, width: int, prior: float, keys: list[str]
     return rows.join(moved, [*keys, "row", "col"], "left").withColumn("value", F.coalesce("value", F.lit(prior)))
 
 
-def lag_order(k: int) -> list[int]:
-    """Lags in the shuffled order of the LAG variant."""
-    return list(range(k)) if k <= 2 else [0, *(i % (k - 1) + 1 for i in range(1, k))]
-
-
 def terms(rows: DataFrame) -> DataFrame:
     """(scenario, frame, variant, i, src, shift) of every aligned variant's terms; needs K and U."""
-    from loomframe.functions.scalars import lag_source
-
     base = rows.where("U is not null").select("scenario", "frame", "K", F.posexplode("U").alias("i", "u"))
     plan = F.array(
         F.struct(F.lit("V4").alias("variant"), (F.col("frame") - F.col("i")).alias("src"), F.col("u").alias("shift")),
@@ -79,14 +73,15 @@ def variants(rows: DataFrame, height: int, width: int, prior: float, chunk: int
     names = ["scenario", "frame", "map", "K", "mu", "U", "mu_oracle", "U_oracle"]
     own = F.floor((F.col("frame") - 1) / chunk).cast("int")
     after = F.floor((F.col("frame") + longest - 2) / chunk).cast("int")
-    dealt = rows.select(*names, own.alias("own"), F.explode(F.sequence(own, after)).alias("part"))
+    lags = F.transform(F.sequence(F.lit(0), F.col("K") - 1), lambda i: lag_source(i, F.col("K")).cast("int"))
+    dealt = rows.select(*names, lags.alias("lags"), own.alias("own"), F.explode(F.sequence(own, after)).alias("part"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         first = int(pdf["frame"].iloc[0])
         maps = np.stack([np.asarray(m, np.float32).reshape(height, width) for m in pdf["map"]])
         out = []
-        for i, (f, k, mu, us, mo, uo, mine) in enumerate(zip(pdf["frame"], pdf["K"], pdf["mu"], pdf["U"], pdf["mu_oracle"], pdf["U_oracle"], pdf["own"] == pdf["part"], strict=True)):
+        for i, (f, k, mu, us, mo, uo, lag, mine) in enumerate(zip(pdf["frame"], pdf["K"], pdf["mu"], pdf["U"], pdf["mu_oracle"], pdf["U_oracle"], pdf["lags"], pdf["own"] == pdf["part"], strict=True)):
             if not mine:
                 continue
             assert f - first == i and i - k + 1 >= 0, "frames must follow each other"
@@ -98,7 +93,7 @@ def variants(rows: DataFrame, height: int, width: int, prior: float, chunk: int
             got["V0"], got["V1"] = float(maps[i].max()), line / k
             plans = {}
             if not mu:
-                plans = {"V4": [(j, us[j]) for j in range(k)], "REV": [(j, -us[j]) for j in range(k)], "LAG": list(zip(lag_order(k), us, strict=False))}
+                plans = {"V4": [(j, us[j]) for j in range(k)], "REV": [(j, -us[j]) for j in range(k)], "LAG": list(zip(lag, us, strict=True))}
             if not mo:
                 plans["ORA"] = [(j, uo[j]) for j in range(k)]
             for name, plan in plans.items():
