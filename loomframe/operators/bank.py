@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.greedy import spaced_places
+from loomframe.session import checked_broadcast
 
 
 def capacity(eligible: DataFrame) -> DataFrame:
@@ -24,15 +25,16 @@ def capacity(eligible: DataFrame) -> DataFrame:
 
 def waterfill(total: int, capacities: dict[str, int]) -> dict[str, int]:
     """Equal shares up to each capacity; remainders to the first names, shortfalls to the rest, until nothing is left."""
-    quota = dict.fromkeys(sorted(capacities), 0)
-    left = total
-    while left > 0 and (open_ := [s for s in quota if quota[s] < capacities[s]]):
-        share, extra = divmod(left, len(open_))
-        for i, s in enumerate(open_):
-            add = min(share + (i < extra), capacities[s] - quota[s])
-            quota[s] += add
-            left -= add
-    return quota
+    names = sorted(capacities)
+    full = np.array([capacities[s] for s in names], np.int64)
+    room = full.copy()
+    while total > 0 and room.any():
+        place = np.cumsum(room > 0)  # from 1 among those with room
+        offer = total // place[-1] + (place <= total % place[-1])
+        given = np.minimum(room, offer)
+        room -= given
+        total -= int(given.sum())
+    return dict(zip(names, (full - room).tolist(), strict=True))
 
 
 def allocate(capacities: DataFrame, total: int) -> DataFrame:
@@ -59,7 +61,7 @@ def build(eligible: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     taken = capacity(eligible)
     sizes = groups.join(taken.groupBy("scenario").agg(F.count(F.lit(1)).alias("n")), "scenario", "left").select("group", "scenario", F.coalesce("n", F.lit(0)).alias("capacity"))
     quotas = allocate(sizes, total)
-    return spaced(taken, quotas.drop("group")).join(F.broadcast(groups), "scenario").select("group", "scenario", "j", "frame")
+    return spaced(taken, quotas.drop("group")).join(checked_broadcast(groups), "scenario").select("group", "scenario", "j", "frame")
 
 
 def consecutive(frames: DataFrame, length: int) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.session import spread
+from loomframe.operators.running import Ordered
+from loomframe.session import durable, release, spread
 
 #: Base vectors that may be broadcast, in bytes of float32.
 BROADCAST_BYTES = 256 << 20
@@ -81,53 +82,119 @@ def embed(frames: DataFrame, function, schema: str) -> DataFrame:
     return frames.mapInPandas(run, schema)
 
 
+def write_features(features: DataFrame, path: str, fold: str = "fold") -> None:
+    """Write a feature bag with one folder for each fold."""
+    features.write.partitionBy(fold).parquet(path)
+
+
+def shape_trace(layers: dict[str, object], x: np.ndarray) -> dict[str, tuple[int, ...]]:
+    """Shapes of what each named function makes of the one before's result, in order."""
+    out = {}
+    for name, layer in layers.items():
+        x = layer(x)
+        out[name] = tuple(x.shape)
+    return out
+
+
+def _projection(rng: np.random.Generator, width: int, dim: int) -> np.ndarray | None:
+    """Random projection of wide features, drawn before the starts."""
+    return rng.standard_normal((width, dim)) / np.sqrt(dim) if width > dim else None
+
+
+def _far(z: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Distances of rows to a centre; each depends on its own row alone, so any split of the rows gives the same."""
+    d = z - centre
+    return np.sqrt((d * d).sum(1))
+
+
 def greedy_coreset(x: np.ndarray, size: int, starts: int = 10, dim: int = 128, seed: int = 0) -> np.ndarray:
-    """Indices of an approximate greedy k-centre selection.
+    """Places of a greedy k-centre selection, in memory.
 
     Distances to ``starts`` random points, averaged, open the search; then the
-    farthest point joins, the smallest index on ties.
+    farthest point joins, the smallest place on ties.
     """
     rng = np.random.default_rng(seed)
-    if x.shape[1] > dim:
-        x = x @ (rng.standard_normal((x.shape[1], dim)) / np.sqrt(dim)).astype(x.dtype)
-    first = rng.choice(len(x), min(starts, len(x)), replace=False)
-    squares = (x * x).sum(1)
-    far = lambda c: np.sqrt(np.maximum(squares + (c * c).sum() - 2 * x @ c, 0))
-    dist = np.mean([far(x[i]) for i in first], axis=0)
+    p = _projection(rng, x.shape[1], dim)
+    z = x.astype(np.float64) if p is None else x.astype(np.float64) @ p
+    first = rng.choice(len(z), min(starts, len(z)), replace=False)
+    dist = np.mean([_far(z, z[i]) for i in first], axis=0)
     out = []
-    for _ in range(min(size, len(x))):
+    for _ in range(min(size, len(z))):
         i = int(dist.argmax())
         out.append(i)
-        dist = np.minimum(dist, far(x[i]))
+        dist = np.minimum(dist, _far(z, z[i]))
     return np.array(out)
 
 
-def coreset(features: DataFrame, share: float = 0.01, seed: int = 0, per_task: int = 200_000) -> DataFrame:
-    """(id, x) of a greedy coreset of a feature bag (id, x).
+#: Farthest points that a round looks at on the driver.
+ROUND = 512
+
 
-    Up to ``per_task`` features are selected from in one task.  Beyond, each
-    part selects its own share and the selection is repeated on their union,
-    the usual composition of k-centre coresets.
+def coreset(features: DataFrame, share: float = 0.01, seed: int = 0, starts: int = 10, dim: int = 128, round_size: int = ROUND) -> DataFrame:
+    """(id, x) of the greedy k-centre selection of a feature bag (id, x) with numeric distinct ids, in order of id.
+
+    A round takes the ``round_size`` points farthest from the centres so far and
+    selects among them as the greedy search would.  Distances only fall, so as long
+    as the farthest of them is farther than any point outside was, it is the
+    farthest of all; then the new centres go to all points and the next round
+    begins.  So the selection is the sequential one, at any size, in many fewer
+    rounds than centres.
     """
+    spark = features.sparkSession
     n = features.count()
-    size = max(1, int(n * share))
-    parts = max(1, -(-n // per_task))
-    kind = dict(features.dtypes)
-
-    def choose(k: int):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("id")
-            x = np.stack(pdf["x"].to_list()).astype(np.float64)
-            return pdf.iloc[greedy_coreset(x, k, seed=seed)][["id", "x"]]
-
-        return run
-
-    schema = f"id {kind['id']}, x {kind['x']}"
-    rows = features.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    chosen = rows.groupBy("part").applyInPandas(choose(-(-size // parts) if parts == 1 else -(-2 * size // parts)), schema)
-    if parts == 1:
-        return chosen
-    return chosen.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(choose(size), schema)
+    size = min(n, max(1, int(n * share)))
+    if not n:
+        return features.select("id", "x")
+    rng = np.random.default_rng(seed)
+    p = _projection(rng, features.select(F.size("x")).first()[0], dim)
+    places = rng.choice(n, min(starts, n), replace=False).tolist()
+    # the order runs from the largest id down
+    numbered = Ordered(features.select("id", "x"), "id").sums({}, "k").rows
+    drawn = {n - 1 - r["k"]: np.array(r["x"], np.float64) for r in numbered.where(F.col("k").isin([n - 1 - i for i in places])).collect()}  # the starts
+    project = lambda x: x if p is None else x @ p
+    opening = [project(drawn[i][None])[0] for i in places]
+
+    def open_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                z = project(np.stack(pdf["x"].to_list()).astype(np.float64))
+                yield pd.DataFrame({"id": pdf["id"], "z": list(z), "dist": np.mean([_far(z, c) for c in opening], axis=0)})
+
+    kind = dict(features.dtypes)["id"]
+    state = durable(features.select("id", "x").mapInPandas(open_, f"id {kind}, z array<double>, dist double"), "coreset")
+    chosen: list[int] = []
+    while len(chosen) < size:
+        top = state.select("id", "dist").orderBy(F.desc("dist"), "id").limit(round_size + 1).collect()
+        outside = top[round_size]["dist"] if len(top) > round_size else -1.0
+        top = top[:round_size]
+        held = {r["id"]: np.array(r["z"]) for r in state.where(F.col("id").isin([r["id"] for r in top])).select("id", "z").collect()}  # a round's points
+        ids = [r["id"] for r in top]
+        order = np.argsort(ids)  # smallest id first on ties
+        ids, z, dist = [ids[i] for i in order], np.stack([held[ids[i]] for i in order]), np.array([top[i]["dist"] for i in order])
+        new: list[int] = []
+        while len(chosen) + len(new) < size and len(new) < len(ids):
+            i = int(dist.argmax())
+            if new and not dist[i] > outside:
+                break
+            new.append(i)
+            dist = np.minimum(dist, _far(z, z[i]))
+        centres = z[new]
+        chosen += [ids[i] for i in new]
+
+        def closer(batches: Iterator[pd.DataFrame], centres: np.ndarray = centres) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    z, dist = np.stack(pdf["z"].to_list()), pdf["dist"].to_numpy(float)
+                    for c in centres:
+                        dist = np.minimum(dist, _far(z, c))
+                    yield pd.DataFrame({"id": pdf["id"], "z": pdf["z"], "dist": dist})
+
+        if len(chosen) < size:
+            after = durable(state.mapInPandas(closer, f"id {kind}, z array<double>, dist double"), "coreset")
+            release(state)
+            state = after
+    release(state)
+    return features.select("id", "x").join(spark.createDataFrame([(i,) for i in chosen], f"id {kind}"), "id")
 
 
 def relative_error(pairs: DataFrame) -> DataFrame:
