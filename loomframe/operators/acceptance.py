@@ -38,6 +38,14 @@ def array_error(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Data
     return rows.agg((F.max("d") / F.max("m")).alias("rel"))
 
 
+def constants_agree(a: DataFrame, b: DataFrame, most: float = MAPS_REL) -> DataFrame:
+    """(name, rel, agrees) of the constants of two one-row tables with the same columns."""
+    x, y = a.select(*(F.col(c).cast("double").alias(f"a_{c}") for c in a.columns)), b.select(*(F.col(c).cast("double").alias(f"b_{c}") for c in a.columns))
+    each = [F.struct(F.lit(c).alias("name"), (F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) / F.abs(f"b_{c}")).alias("rel")) for c in a.columns]
+    rows = x.join(F.broadcast(y)).select(F.explode(F.array(*each)).alias("r"))  # one row each
+    return rows.select("r.name", "r.rel", (F.col("r.rel") <= most).alias("agrees"))
+
+
 def batch_verdict(features_rel: float, maps_rel: list[float]) -> bool:
     return features_rel <= FEATURES_REL and max(maps_rel) <= MAPS_REL
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.greedy import spaced_places
-from loomframe.sources.timeline import ANCHORS, NORMAL
+from loomframe.sources.timeline import ANCHORS, DEFECT, NORMAL
 
 
 def windows(passes: DataFrame, lengths: DataFrame, grace: int = 24) -> DataFrame:
@@ -33,6 +33,13 @@ def windows(passes: DataFrame, lengths: DataFrame, grace: int = 24) -> DataFrame
     return out.withColumn("lo", F.col("s")).withColumn("hi", hi).withColumn("carry", carry).drop("next", "before", "N", "g", "Ks")
 
 
+def with_label(windows_: DataFrame, frames: DataFrame, label: int) -> DataFrame:
+    """The windows whose pass [s, e] shows the label on some frame."""
+    marks = windows_.select("scenario", "s", "e", F.col("s").alias("lo"), F.col("e").alias("hi"))
+    hit = in_window(frames.where(F.col("label") >= DEFECT), marks, "s").where((F.col("label") == label) & F.col("s").isNotNull())
+    return windows_.join(hit.select("scenario", "s").distinct(), ["scenario", "s"], "left_semi")
+
+
 def assert_disjoint(windows_: DataFrame) -> DataFrame:
     """The windows, or an error where two of a scenario overlap."""
     w = Window.partitionBy("scenario").orderBy("lo")
@@ -144,6 +151,21 @@ def offsets(frames: DataFrame) -> DataFrame:
     return n.withColumn("start", F.sum("n").over(Window.orderBy("scenario").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
 
 
+def concatenated(frames: DataFrame, separator: int = 4) -> DataFrame:
+    """(position, scenario, frame, normal) of all scenarios one after the other.
+
+    ``separator`` frames outside the normal set follow each scenario, more than a
+    run of events can bridge, so one walk over all positions counts as one for each scenario.
+    """
+    n = offsets(frames)
+    place = n.withColumn("before", F.col("start") + separator * (F.row_number().over(Window.orderBy("scenario")) - 1))  # a row a scenario
+    rows = frames.join(place, "scenario").select((F.col("before") + F.col("frame")).cast("long").alias("position"), "scenario", "frame", "normal")
+    end = (F.col("before") + F.col("n")).cast("long")
+    gaps = place.select(F.explode(F.sequence(end + 1, end + separator)).alias("position"))
+    kinds = dict(frames.dtypes)
+    return rows.unionByName(gaps.select("position", F.lit(None).cast(kinds["scenario"]).alias("scenario"), F.lit(0).cast(kinds["frame"]).alias("frame"), F.lit(False).alias("normal")))
+
+
 def fold_statistics(frames: DataFrame, windows_: DataFrame) -> DataFrame:
     """One row: frames, normal frames, passes, tracks, carried-over passes."""
     a = frames.agg(F.count(F.lit(1)).alias("frames"), F.sum(F.col("normal").cast("long")).alias("normal"))

@@ -7,9 +7,11 @@ import json
 import os
 import platform
 import subprocess
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 def bank_problems(bank: DataFrame, quotas: DataFrame, groups: DataFrame, disjoint: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows (problem, fold, scenario) of a bank record that break its rules."""
     twice = bank.groupBy("fold", "scenario", "frame").count().where("count > 1").select(F.lit("repeated").alias("problem"), "fold", "scenario")
-    wrong = bank.join(F.broadcast(groups.withColumnRenamed("group", "own")), "scenario", "left").where("own is null or own != `group`").select(F.lit("group").alias("problem"), "fold", "scenario").distinct()
+    wrong = bank.join(groups.withColumnRenamed("group", "own"), "scenario", "left").where("own is null or own != `group`").select(F.lit("group").alias("problem"), "fold", "scenario").distinct()
     counts = bank.groupBy("fold", "scenario").agg(F.count(F.lit(1)).alias("n"))
     quota = quotas.join(counts, ["fold", "scenario"], "full").where("coalesce(n, 0) != coalesce(quota, 0)").select(F.lit("quota").alias("problem"), "fold", "scenario")
     out = twice.unionByName(wrong).unionByName(quota)
@@ -122,7 +124,6 @@ def read_gray(images: DataFrame, rows: int, cols: int) -> DataFrame:
     """(scenario, frame, pixels) row by row; raises if an image has another shape."""
 
     def run(batches):
-        import pandas as pd
 
         for pdf in batches:
             got = [decode_pgm(bytes(c)) for c in pdf["content"]]
@@ -140,10 +141,31 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_digest(rows: DataFrame, name: str, value: str, by: str | None = None) -> DataFrame:
-    """SHA-256 over sorted ``name TAB value`` lines; each group's lines meet in one task, so groups must be bounded."""
+    """SHA-256 over sorted ``name TAB value`` lines of each group.
+
+    The digest of a group is one chain, so its lines pass through one task, which
+    sorts them (on disk where need be) and holds one batch at a time.
+    """
+    key = F.col(by) if by else F.lit(0)
+    kind = dict(rows.dtypes)[by] if by else "int"
     line = F.concat(F.col(name).cast("string"), F.lit("\t"), F.col(value).cast("string"), F.lit("\n"))
-    text = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(name).alias("k"), line.alias("l")))), lambda x: x["l"]), ""), 256).alias("digest")
-    return rows.groupBy(*([by] if by else [])).agg(text)
+    sorted_ = rows.select(key.alias("key"), F.col(name).cast("string").alias("name"), line.alias("line")).repartition("key").sortWithinPartitions("key", "name", "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, chain, out = None, None, []
+        for pdf in batches:
+            for k, part in pdf.groupby("key", sort=False)["line"]:
+                if chain is None or k != now:
+                    if chain is not None:
+                        out.append((now, chain.hexdigest()))
+                    now, chain = k, hashlib.sha256()
+                chain.update("".join(part).encode())
+        if chain is not None:
+            out.append((now, chain.hexdigest()))
+        yield pd.DataFrame(out, columns=["key", "digest"])
+
+    got = sorted_.mapInPandas(run, f"key {kind}, digest string")
+    return got.select(F.col("key").alias(by), "digest") if by else got.select("digest")
 
 
 def file_sha256(path: str, block: int = 1 << 20) -> str:
@@ -186,6 +208,10 @@ def write_json(record: dict, path: str) -> None:
     Path(path).write_text(json.dumps(plain(record), sort_keys=True, indent=1) + "\n")
 
 
+#: Tasks that the rows of one key are dealt to.
+WRITE_PARTS = 8
+
+
 def write_missing(df: DataFrame, path: str, key: str) -> None:
     """Append the keys that the dataset at ``path`` lacks, partitioned by key; a second run adds nothing."""
     spark = df.sparkSession
@@ -195,8 +221,10 @@ def write_missing(df: DataFrame, path: str, key: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         have = None
-    rows = df if have is None else df.join(F.broadcast(have), key, "left_anti")
-    rows.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+    rows = df if have is None else df.join(have, key, "left_anti")
+    # by key and a part of its rows, so that a key is written by several tasks
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(WRITE_PARTS))
+    rows.repartition(F.col(key), part).write.mode("append").partitionBy(key).parquet(path)
 
 
 def write_arrays(df: DataFrame, path: str) -> dict:

@@ -14,13 +14,15 @@ from loomframe.functions.scalars import frame_number
 
 #: Labels of normal frames, least label of a defect, and labels that start a rotation.
 NORMAL, DEFECT, ANCHORS = (1, 2), 3, (2, 5)
+#: Scenarios of the timeline made from the event table.
+SCENARIOS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def timeline(spark: SparkSession, sf_dir: str, scenarios: int = 4) -> DataFrame:
+def timeline(spark: SparkSession, sf_dir: str, scenarios: int = SCENARIOS) -> DataFrame:
     """The frames of every scenario."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
@@ -42,6 +44,11 @@ def timeline(spark: SparkSession, sf_dir: str, scenarios: int = 4) -> DataFrame:
     )
 
 
+def capped(frames: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` frames of each scenario, or all."""
+    return frames if most is None else frames.where(F.col("frame") <= most)
+
+
 def parse_labels(raw: DataFrame) -> DataFrame:
     """(scenario, frame, label) of label rows (scenario, FileName, Label), header spaces stripped."""
     names = {c.strip().lower(): c for c in raw.columns}
@@ -67,7 +74,7 @@ def defect_frames(frames: DataFrame, overrides: DataFrame | None = None) -> Data
     labelled = frames.where(F.col("label") >= DEFECT).select("scenario", "frame")
     if overrides is None:
         return labelled
-    inside = frames.join(F.broadcast(overrides), "scenario").where(F.col("frame").between(F.col("lo"), F.col("hi"))).select("scenario", "frame")
+    inside = frames.join(overrides, "scenario").where(F.col("frame").between(F.col("lo"), F.col("hi"))).select("scenario", "frame")
     return labelled.union(inside).distinct()
 
 
@@ -93,6 +100,22 @@ def purpose_gate(reads: DataFrame, allowed: DataFrame) -> DataFrame:
     return reads.join(whole, on, "left_anti").join(single, [*on, "frame"], "left_anti")
 
 
+def roles(groups: DataFrame, train: list[str], test: str) -> DataFrame:
+    """(scenario, training, test) of the scenarios (scenario, group) with a role; raises if one has both."""
+    wanted = training_scenarios(groups, train, test).select("scenario", F.lit("training").alias("role"))
+    held = groups.where(F.col("group") == test).select("scenario", F.lit("test").alias("role")).distinct()
+    both = F.count(F.lit(1)) > 1
+    named = wanted.unionByName(held).groupBy("scenario").agg(F.when(both, F.raise_error(F.lit("a scenario has two roles")).cast("string")).otherwise(F.min("role")).alias("role"))
+    return named.select("scenario", (F.col("role") == "training").alias("training"), (F.col("role") == "test").alias("test"))
+
+
+def group_map(clusters: DataFrame, scenario: str, group: str) -> DataFrame:
+    """(scenario, group) of cluster rows; raises where a scenario has two groups."""
+    rows = clusters.groupBy(F.col(scenario).alias("scenario")).agg(F.min(group).alias("group"), F.max(group).alias("_g"))
+    two = F.raise_error(F.lit("a scenario has two groups")).cast("string")
+    return rows.select("scenario", F.when(F.col("group") != F.col("_g"), two).otherwise(F.col("group").cast("string")).alias("group"))
+
+
 def gated(reads: DataFrame, allowed: DataFrame) -> DataFrame:
     """The reads, or an error if one of them is not allowed."""
     if not purpose_gate(reads, allowed).isEmpty():
