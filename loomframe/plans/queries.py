@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import scalars as S
 from loomframe.operators import bank, decision, events, inference, intervals, metrics, motion, synth, temporal, vectors
+from loomframe.plans import pilot
 from loomframe.plans.sql import with_parts
 from loomframe.session import durable
 from loomframe.sources import files
@@ -20,13 +21,13 @@ ORACLES: dict[str, str] = {}
 TAU = 30.0
 
 
-def query(parts: str = "", sql: str | None = None):
-    """Register a query and, where SQL can express it, the SQL."""
+def query(parts: str = "", sql: str | None = None, **instead: tuple[str, str]):
+    """Register a query and, where SQL can express it, the SQL; ``instead`` replaces expressions of the SQL's parts."""
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = with_parts(parts, sql) if parts else sql
+            ORACLES[f.__name__] = with_parts(parts, sql, **instead) if parts else sql
         return f
 
     return add
@@ -54,10 +55,6 @@ def kept_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return durable(intervals.normal_set(frames, w), "frames"), w
 
 
-def coarse(frames: DataFrame) -> DataFrame:
-    return frames.withColumn("score", F.floor(F.col("score") / 8) * F.lit(8.0))
-
-
 # -- sources, filters, projections
 
 
@@ -73,9 +70,11 @@ def src_passes(spark, sf_dir):
     return T.passes(T.timeline(spark, sf_dir))
 
 
-@query("", """SELECT o_orderstatus AS scenario, count(*) AS n, count(DISTINCT o_orderpriority) AS groups FROM orders GROUP BY o_orderstatus""")
+@query("", """SELECT n.n_name AS scenario, r.r_name AS "group" FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey""")
 def src_group_map(spark, sf_dir):
-    return T.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("scenario")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderpriority").alias("groups"))
+    region = T.table(spark, sf_dir, "region")
+    clusters = T.table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return T.group_map(clusters, "n_name", "r_name")
 
 
 @query("", """WITH bank AS (SELECT n_regionkey AS fold, n_name AS scenario, n_nationkey AS frame, CASE WHEN n_nationkey % 7 = 0 THEN 'x' ELSE 'g' || n_regionkey END AS grp FROM nation)
@@ -132,12 +131,8 @@ def fil_read_audit(spark, sf_dir):
 
 @query("", """SELECT s.n_name AS scenario, s.n_regionkey IN (1, 2) AS training, s.n_regionkey = 3 AS test FROM nation s WHERE s.n_regionkey IN (1, 2, 3)""")
 def fil_roles(spark, sf_dir):
-    nation = T.table(spark, sf_dir, "nation")
-    train = nation.where(F.col("n_regionkey").isin(1, 2)).select(F.col("n_name").alias("scenario"))
-    test = nation.where(F.col("n_regionkey") == 3).select(F.col("n_name").alias("scenario"))
-    if not train.intersect(test).isEmpty():
-        raise ValueError("a scenario has two roles")
-    return train.withColumns({"training": F.lit(True), "test": F.lit(False)}).unionByName(test.withColumns({"training": F.lit(False), "test": F.lit(True)}))
+    groups = T.table(spark, sf_dir, "nation").select(F.col("n_name").alias("scenario"), F.col("n_regionkey").cast("string").alias("group"))
+    return T.roles(groups, ["1", "2"], "3")
 
 
 @query("timeline", "SELECT scenario, frame, score FROM timeline")
@@ -221,6 +216,18 @@ def win_offsets(spark, sf_dir):
     return intervals.offsets(T.timeline(spark, sf_dir))
 
 
+@query("timeline", "SELECT scenario, frame, score FROM timeline WHERE frame <= 30")
+def srt_limit(spark, sf_dir):
+    return T.capped(T.timeline(spark, sf_dir), 30).select("scenario", "frame", "score")
+
+
+@query("frames spans", """, before AS (SELECT s.scenario, s.N, CAST(coalesce((SELECT sum(x.N + 4) FROM spans x WHERE x.scenario < s.scenario), 0) AS BIGINT) AS b FROM spans s)
+SELECT b + f.frame AS position, f.scenario, f.frame, f.normal FROM frames f JOIN before USING (scenario)
+UNION ALL SELECT b + N + g, NULL, 0, false FROM before, range(1, 5) AS r(g)""")
+def gen_layout(spark, sf_dir):
+    return intervals.concatenated(layout(spark, sf_dir)[0])
+
+
 # -- motion
 
 
@@ -326,48 +333,53 @@ def agg_event_starts(spark, sf_dir):
     return events.chunks_of(events.runs_at(layout(spark, sf_dir)[0], TAU)).select("scenario", "frame")
 
 
-@query("counted", "SELECT tau, C FROM counted WHERE tau IN (SELECT score FROM coarse WHERE normal)")
+@query("counted frames", "SELECT tau, C FROM counted WHERE tau IN (SELECT score FROM frames WHERE normal)")
 def agg_count_curve(spark, sf_dir):
-    return events.curve(events.steps(coarse(layout(spark, sf_dir)[0])))
+    return events.curve(events.steps(layout(spark, sf_dir)[0]))
 
 
-@query("counted", "SELECT tau, U AS C FROM counted WHERE tau <= 200 AND tau IN (SELECT score FROM coarse WHERE normal)")
+@query("counted frames", "SELECT tau, U AS C FROM counted WHERE tau IN (SELECT score FROM frames WHERE normal)")
 def spc_uncapped_curve(spark, sf_dir):
-    frames = coarse(layout(spark, sf_dir)[0])
+    frames = layout(spark, sf_dir)[0]
     # the steps lie at scores where a run opens or closes; between them the count stays
     got = events.uncapped_steps(frames).unionByName(frames.where("normal").select(F.col("score").alias("tau"), F.lit(0).cast("long").alias("delta")).distinct()).groupBy("tau").agg(F.sum("delta").alias("delta"))
-    return events.curve(got).where("tau <= 200")
+    return events.curve(got)
+
+
+UNIT_SQL = """, starts_ AS (SELECT r.scenario, r.seg, r.tau, p.phase // 50 AS bin, count(*) AS n FROM (SELECT scenario, seg, tau, unnest(range(a, b + 1, 25)) AS frame FROM seg_runs) r
+  JOIN phased p ON p.scenario = r.scenario AND p.frame = r.frame GROUP BY ALL),
+filled AS (SELECT t.scenario, t.seg, t.tau, u.bin, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT scenario, seg, tau FROM seg_runs) t JOIN (SELECT DISTINCT scenario, seg, bin FROM starts_) u ON u.scenario = t.scenario AND u.seg = t.seg
+  LEFT JOIN starts_ s ON s.scenario = t.scenario AND s.seg = t.seg AND s.tau = t.tau AND s.bin = u.bin),
+unit_deltas AS (SELECT CAST(scenario * 100 + bin AS INTEGER) AS unit, tau, CAST(sum(d) AS BIGINT) AS d FROM (SELECT *, n - lag(n, 1, 0) OVER (PARTITION BY scenario, seg, bin ORDER BY tau DESC) AS d FROM filled) GROUP BY ALL HAVING sum(d) <> 0)"""
 
 
-@query("brute phased", """SELECT tau, CAST((scenario * 100 + phase // 50) AS INTEGER) AS unit, count(*) AS n FROM (
-SELECT r.tau, r.scenario, p.phase FROM (SELECT tau, scenario, unnest(range(a, b + 1, 25)) AS frame FROM brute WHERE tau IN (8, 24, 64)) r JOIN phased p ON p.scenario = r.scenario AND p.frame = r.frame) GROUP BY ALL""")
+@query("seg_runs phased", UNIT_SQL + " SELECT unit, tau, CAST(sum(d) OVER (PARTITION BY unit ORDER BY tau DESC) AS BIGINT) AS n FROM unit_deltas")
 def agg_unit_curve(spark, sf_dir):
-    rows = coarse(phased(spark, sf_dir)).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int"))
-    got = events.steps(rows, unit="unit").where("delta != 0").withColumn("at", F.explode(F.array(*(F.lit(float(t)) for t in (8, 24, 64))))).where("tau >= at")
-    return got.groupBy(F.col("at").alias("tau"), "unit").agg(F.sum("delta").alias("n")).where("n != 0")
+    """The events of each unit at every threshold where their number changes."""
+    rows = phased(spark, sf_dir).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int"))
+    return events.curve(events.steps(rows, unit="unit").where("delta != 0"), unit="unit").withColumnRenamed("C", "n")
 
 
 @query("qs", "SELECT scenario, win AS s, track, q FROM qs")
 def agg_pass_scores(spark, sf_dir):
     frames, w = layout(spark, sf_dir)
-    return metrics.pass_scores(coarse(frames), w)
+    return metrics.pass_scores(frames, w)
 
 
 @query("zs", "SELECT track, z FROM zs")
 def agg_track_scores(spark, sf_dir):
     frames, w = layout(spark, sf_dir)
-    return metrics.track_scores(metrics.pass_scores(coarse(frames), w))
+    return metrics.track_scores(metrics.pass_scores(frames, w))
 
 
 def curve_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     frames, w = kept_layout(spark, sf_dir)
-    frames = coarse(frames)
     return metrics.metric_curve(events.steps(frames), metrics.pass_scores(frames, w)), metrics.sizes(frames, w)
 
 
 @query("curve", "SELECT j, tau, C, E, detp, dett FROM curve")
 def met_curve(spark, sf_dir):
-    return curve_of(spark, sf_dir)[0]
+    return curve_of(spark, sf_dir)[0].drop("next_E")
 
 
 METRICS_SQL = """SELECT CAST(CASE WHEN 1000 * a.E > 50 * t.nN THEN 50 * t.nN ELSE 1000 * a.E END AS BIGINT) AS P1_num, t.nN AS P1_den, 1000 * a.E > 50 * t.nN AS P1_censored,
@@ -388,21 +400,22 @@ def sca_exact_text(spark, sf_dir):
     return m.select(S.fraction_text(F.col("P3_num"), F.col("P3_den")).alias("p3"), S.q9(F.col("P3_num"), F.col("P3_den")).alias("p3_q9"), S.sign9(F.col("P3_num"), F.col("P3_den")).alias("sign"))
 
 
-@query("counted total", """SELECT min(tau) AS threshold, max(E) AS events FROM (SELECT tau, max(C) OVER (ORDER BY tau DESC) AS E FROM counted
-WHERE tau = 'Infinity'::DOUBLE OR tau IN (SELECT score FROM coarse WHERE normal)), total WHERE 1000 * E <= 2 * nN""")
+@query("counted frames total", """SELECT min(tau) AS threshold, max(E) AS events FROM (SELECT tau, max(C) OVER (ORDER BY tau DESC) AS E FROM counted
+WHERE tau = 'Infinity'::DOUBLE OR tau IN (SELECT score FROM frames WHERE normal)), total WHERE 1000 * E <= 2 * nN""")
 def met_deployment(spark, sf_dir):
-    frames = coarse(layout(spark, sf_dir)[0])
+    frames = durable(layout(spark, sf_dir)[0], "frames")
     return metrics.deployment_threshold(events.steps(frames), frames.agg(F.sum(F.col("normal").cast("long")).alias("n")))
 
 
-RANKING_SQL = """SELECT round((SELECT sum((SELECT 2 * count(*) FILTER (WHERE n.score < p.score) + count(*) FILTER (WHERE n.score = p.score) FROM coarse n WHERE n.label < 3)) FROM coarse p WHERE p.label >= 3)
- / (2.0::DOUBLE * (SELECT count(*) FROM coarse WHERE label >= 3) * (SELECT count(*) FROM coarse WHERE label < 3)), 9) AS auroc,
-round((SELECT sum((SELECT count(*) FILTER (WHERE x.label >= 3) / count(*)::DOUBLE FROM coarse x WHERE x.score >= p.score)) / count(*) FROM coarse p WHERE p.label >= 3), 9) AS auprc"""
+RANKING_SQL = """SELECT round((SELECT sum(hits * (2 * (n - fp) + misses)) / (2.0::DOUBLE * any_value(p) * any_value(n)) FROM b), 9) AS auroc,
+round((SELECT sum(hits / p::DOUBLE * tp / (tp + fp)::DOUBLE) FROM b), 9) AS auprc FROM (SELECT 1)"""
 
 
-@query("coarse", RANKING_SQL)
+@query("timeline", """, a AS (SELECT score, count(*) FILTER (WHERE label >= 3) AS hits, count(*) FILTER (WHERE label < 3) AS misses FROM timeline GROUP BY score),
+b AS (SELECT *, (SELECT sum(x.hits) FROM a x WHERE x.score >= a.score) AS tp, (SELECT sum(x.misses) FROM a x WHERE x.score >= a.score) AS fp, (SELECT sum(hits) FROM a) AS p, (SELECT sum(misses) FROM a) AS n FROM a WHERE hits > 0)
+""" + RANKING_SQL)
 def spc_ranking_quality(spark, sf_dir):
-    got = metrics.ranking_quality(coarse(layout(spark, sf_dir)[0]).withColumn("positive", F.col("label") >= 3))
+    got = metrics.ranking_quality(T.timeline(spark, sf_dir).withColumn("positive", F.col("label") >= 3))
     return got.select(F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
 
 
@@ -526,12 +539,11 @@ def arr_adaptive_mean(spark, sf_dir):
     return got.withColumn("value", F.round("value", 9))
 
 
-@query("cells", """, taps AS (SELECT CAST(o AS INTEGER) AS o, CAST(floor(x) AS INTEGER) AS a, least(CAST(floor(x) AS INTEGER) + 1, 7) AS b, x - floor(x) AS w FROM (
-  SELECT o, greatest(0.0::DOUBLE, (o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE) AS x FROM range(0, 16) AS g(o)))
-SELECT c00.frame, r.o AS "row", k.o AS col, round((1 - r.w) * ((1 - k.w) * c00.value + k.w * c01.value) + r.w * ((1 - k.w) * c10.value + k.w * c11.value), 6) AS value
-FROM taps r, taps k, cells c00, cells c01, cells c10, cells c11
-WHERE c00."row" = r.a AND c00.col = k.a AND c01.frame = c00.frame AND c01."row" = r.a AND c01.col = k.b AND c10.frame = c00.frame AND c10."row" = r.b AND c10.col = k.a
-AND c11.frame = c00.frame AND c11."row" = r.b AND c11.col = k.b""")
+@query("cells", """, taps AS (SELECT CAST(o AS INTEGER) AS o, CAST(a AS INTEGER) AS a, w FROM (
+  SELECT o, floor(x) AS a, 1 - (x - floor(x)) AS w FROM (SELECT o, greatest(0.0::DOUBLE, (o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE) AS x FROM range(0, 16) AS g(o))
+  UNION ALL SELECT o, least(floor(x) + 1, 7), x - floor(x) FROM (SELECT o, greatest(0.0::DOUBLE, (o + 0.5::DOUBLE) / 2 - 0.5::DOUBLE) AS x FROM range(0, 16) AS g(o)))),
+across AS (SELECT c.frame, c."row", t.o AS col, sum(t.w * c.value) AS value FROM cells c JOIN taps t ON t.a = c.col GROUP BY ALL)
+SELECT c.frame, t.o AS "row", c.col, round(sum(t.w * c.value), 6) AS value FROM across c JOIN taps t ON t.a = c."row" GROUP BY ALL""")
 def arr_upsample(spark, sf_dir):
     return temporal.upsample2(as_cells(spark, sf_dir), 8, 8, ["frame"]).withColumn("value", F.round("value", 6))
 
@@ -586,7 +598,7 @@ def win_capacity(spark, sf_dir):
     return bank.capacity(normal_frames(spark, sf_dir))
 
 
-FILL_SQL = """SELECT o_orderpriority AS "group", o_orderstatus AS scenario, count(*) AS capacity FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL"""
+FILL_SQL = """SELECT o_orderpriority AS "group", o_orderstatus AS scenario, count(*) AS capacity FROM orders GROUP BY ALL"""
 
 
 @query("", f"""WITH RECURSIVE caps AS ({FILL_SQL}),
@@ -598,7 +610,7 @@ fill AS (SELECT "group", scenario, capacity, 0::BIGINT AS quota, 500::BIGINT AS
     WHERE remaining > 0 AND open_n > 0))
 SELECT "group", scenario, CAST(max(quota) AS BIGINT) AS quota FROM fill GROUP BY ALL""")
 def srt_waterfill(spark, sf_dir):
-    orders = T.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    orders = T.table(spark, sf_dir, "orders")
     caps = orders.groupBy(F.col("o_orderpriority").alias("group"), F.col("o_orderstatus").alias("scenario")).agg(F.count(F.lit(1)).alias("capacity"))
     return bank.allocate(caps, 500)
 
@@ -634,39 +646,48 @@ def win_cyclic_shift(spark, sf_dir):
 
 
 def fixed_shifts(spark, n: int) -> DataFrame:
-    return spark.createDataFrame([(b, s, 37 * b + 11 * s + 5) for b in range(n) for s in range(4)], "b int, scenario int, d int")
-
-
-SHIFTED_SQL = """, ring AS (SELECT CAST(b AS INTEGER) AS b, c.scenario, CAST((c.frame - 1 + 37 * b + 11 * c.scenario + 5) % n.N + 1 AS INTEGER) AS frame, c.score FROM coarse c JOIN spans n USING (scenario), range(0, 4) AS g(b)),
-rf AS (SELECT r.b, r.scenario, r.frame, r.score, c.normal, c.seg, c.win, c.track FROM ring r JOIN coarse c USING (scenario, frame)),
-rq AS (SELECT b, scenario, win, track, max(score) AS q FROM rf WHERE win IS NOT NULL GROUP BY ALL),
-rz AS (SELECT b, track, max(q) AS z FROM rq GROUP BY ALL),
-rg AS (SELECT DISTINCT b, tau FROM (SELECT b, score AS tau FROM rf WHERE normal UNION ALL SELECT b, q FROM rq) UNION ALL SELECT CAST(b AS INTEGER), 'Infinity'::DOUBLE FROM range(0, 4) AS g(b)),
-rb AS (SELECT b, tau, scenario, min(frame) AS a, max(frame) AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY b, tau, scenario ORDER BY frame) AS run FROM (
-  SELECT g.b, g.tau, f.scenario, f.frame, CASE WHEN f.frame - lag(f.frame) OVER w <= 3 AND f.seg = lag(f.seg) OVER w THEN 0 ELSE 1 END AS opens
-  FROM rg g JOIN rf f ON f.b = g.b AND f.normal AND f.score >= g.tau WINDOW w AS (PARTITION BY g.b, g.tau, f.scenario ORDER BY f.frame))) GROUP BY b, tau, scenario, run),
-rn AS (SELECT g.b, g.tau, coalesce(sum((x.e - x.a + 25) // 25), 0) AS C FROM rg g LEFT JOIN rb x ON x.b = g.b AND x.tau = g.tau GROUP BY ALL),
-rc AS (SELECT b, row_number() OVER w - 1 AS j, max(C) OVER w AS E, (SELECT count(*) FROM rq q WHERE q.b = rn.b AND q.q >= rn.tau) AS detp FROM rn WINDOW w AS (PARTITION BY b ORDER BY tau DESC)),
+    return spark.createDataFrame([(b, s, 37 * b + 11 * s + 5) for b in range(n) for s in range(T.SCENARIOS)], "b int, scenario int, d int")
+
+
+# the whole evaluation for each b of rf (b, scenario, frame, score, normal, seg, win, track)
+BY_SQL = """rq AS (SELECT b, scenario, win, track, max(score) AS q FROM rf WHERE win IS NOT NULL GROUP BY ALL),
+rs AS (SELECT b, scenario, seg, tau, run, min(frame) AS a, max(frame) AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY b, scenario, seg, tau ORDER BY frame) AS run FROM (
+  SELECT g.b, g.tau, f.scenario, f.seg, f.frame, CASE WHEN f.frame - lag(f.frame) OVER w <= 3 THEN 0 ELSE 1 END AS opens
+  FROM (SELECT DISTINCT b, scenario, seg, score AS tau FROM rf WHERE normal) g JOIN rf f ON f.b = g.b AND f.scenario = g.scenario AND f.seg = g.seg AND f.normal AND f.score >= g.tau
+  WINDOW w AS (PARTITION BY g.b, g.scenario, g.seg, g.tau ORDER BY f.frame))) GROUP BY ALL),
+rd AS (SELECT b, tau, sum(d) AS d FROM (SELECT b, tau, c - lag(c, 1, 0) OVER (PARTITION BY b, scenario, seg ORDER BY tau DESC) AS d FROM (SELECT b, scenario, seg, tau, sum((e - a + 25) // 25) AS c FROM rs GROUP BY ALL)) GROUP BY ALL),
+rg AS (SELECT DISTINCT b, tau FROM (SELECT b, score AS tau FROM rf WHERE normal UNION ALL SELECT b, q FROM rq) UNION ALL SELECT DISTINCT b, 'Infinity'::DOUBLE FROM rf),
+rp_ AS (SELECT b, q AS tau, count(*) AS d FROM rq GROUP BY ALL),
+rz_ AS (SELECT b, z AS tau, count(*) AS d FROM (SELECT b, track, max(q) AS z FROM rq GROUP BY ALL) GROUP BY ALL),
+rn AS (SELECT g.b, g.tau, coalesce(sum(d.d) OVER w, 0) AS C, coalesce(sum(p.d) OVER w, 0) AS detp, coalesce(sum(z.d) OVER w, 0) AS dett
+  FROM rg g LEFT JOIN rd d ON d.b = g.b AND d.tau = g.tau LEFT JOIN rp_ p ON p.b = g.b AND p.tau = g.tau LEFT JOIN rz_ z ON z.b = g.b AND z.tau = g.tau WINDOW w AS (PARTITION BY g.b ORDER BY g.tau DESC)),
+rc AS (SELECT b, row_number() OVER w - 1 AS j, max(C) OVER w AS E, detp, dett FROM rn WINDOW w AS (PARTITION BY b ORDER BY tau DESC)),
 rr AS (SELECT c.*, t.*, lead(E) OVER (PARTITION BY b ORDER BY j) AS nextE FROM rc c, total t),
 rp AS (SELECT b, CAST(sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN THEN detp * 1000 * (nextE - E) ELSE detp * (10 * nN - 1000 * E) END) AS BIGINT) AS P3_num, any_value(10 * nP * nN) AS P3_den FROM rr GROUP BY b)"""
 
 
+SHIFTED_SQL = """, ring AS (SELECT CAST(b AS INTEGER) AS b, c.scenario, CAST((c.frame - 1 + 37 * b + 11 * c.scenario + 5) % n.N + 1 AS INTEGER) AS frame, c.score FROM frames c JOIN spans n USING (scenario), range(0, {shifts}) AS g(b)),
+rf AS (SELECT r.b, r.scenario, r.frame, r.score, c.normal, c.seg, c.win, c.track FROM ring r JOIN frames c USING (scenario, frame)),
+""" + BY_SQL
+SHIFTS = 20
+
+
 def trial(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Coarse frames with their windows (s, track), and the sizes."""
+    """Frames with their windows (s, track), and the sizes."""
     frames, w = kept_layout(spark, sf_dir)
-    return intervals.in_window(coarse(frames), w, "s", "track"), metrics.sizes(frames, w)
+    return intervals.in_window(frames, w, "s", "track"), metrics.sizes(frames, w)
 
 
-@query("coarse spans total", SHIFTED_SQL + " SELECT b, P3_num, P3_den FROM rp")
+@query("frames spans total", SHIFTED_SQL.format(shifts=SHIFTS) + " SELECT b, P3_num, P3_den FROM rp")
 def inf_permutation_null(spark, sf_dir):
     frames, sizes = trial(spark, sf_dir)
-    return inference.permutation_null(frames, fixed_shifts(spark, 4), sizes)
+    return inference.permutation_null(frames, fixed_shifts(spark, SHIFTS), sizes)
 
 
-@query("coarse spans total rates", SHIFTED_SQL + f", obs AS ({METRICS_SQL}) SELECT count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) AS k, count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) >= 2 AS collapsed, count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) + 1 AS p_num, count(*) + 1 AS p_den FROM rp, obs")
+@query("frames spans total rates", SHIFTED_SQL.format(shifts=SHIFTS) + f", obs AS ({METRICS_SQL}) SELECT count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) AS k, count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) >= 2 AS collapsed, count(*) FILTER (WHERE rp.P3_num >= obs.P3_num) + 1 AS p_num, count(*) + 1 AS p_den FROM rp, obs")
 def inf_collapse(spark, sf_dir):
     frames, sizes = trial(spark, sf_dir)
-    return inference.collapse(inference.permutation_null(frames, fixed_shifts(spark, 4), sizes), metrics.metrics(*curve_of(spark, sf_dir)), 2)
+    return inference.collapse(inference.permutation_null(frames, fixed_shifts(spark, SHIFTS), sizes), metrics.metrics(*curve_of(spark, sf_dir)), 2)
 
 
 @query()
@@ -694,22 +715,24 @@ def gen_null_calibration(spark, sf_dir):
 
 def bootstrap_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     frames, w = kept_layout(spark, sf_dir)
-    rows = durable(coarse(phased(spark, sf_dir, frames)).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int")), "units")
-    q = durable(metrics.pass_scores(coarse(frames), w), "pass-scores")
+    rows = durable(phased(spark, sf_dir, frames).withColumn("unit", (F.col("scenario") * 100 + F.col("phase_bin")).cast("int")), "units")
+    q = durable(metrics.pass_scores(frames, w), "pass-scores")
     sizes = intervals.unit_sizes(rows, "unit")
     weights = sizes.select("unit").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("w", F.pmod(F.col("b") * 7 + F.col("unit") * 13, F.lit(3)).cast("long")).where("w > 0")
     tracks = q.select("track").distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("w", F.pmod(F.col("b") + F.substring("track", 1, 1).cast("int") + 2 * F.substring("track", 3, 1).cast("int"), F.lit(3)).cast("long")).where("w > 0")
     return events.steps(rows, unit="unit"), weights, sizes, q, tracks
 
 
-BOOT_SQL = """, ub AS (SELECT tau, CAST(scenario * 100 + phase // 50 AS INTEGER) AS unit, count(*) AS n FROM (SELECT r.tau, r.scenario, p.phase FROM (SELECT tau, scenario, unnest(range(a, b + 1, 25)) AS frame FROM brute) r
-  JOIN phased p ON p.scenario = r.scenario AND p.frame = r.frame) GROUP BY ALL),
+BOOT_SQL = UNIT_SQL + """,
 us AS (SELECT CAST(p.scenario * 100 + p.phase // 50 AS INTEGER) AS unit, sum(f.normal::INT) AS n FROM phased p JOIN frames f USING (scenario, frame) GROUP BY 1),
 uw AS (SELECT b, unit, n, (b * 7 + unit * 13) % 3 AS w FROM us, range(0, 6) AS g(b)),
 tw AS (SELECT b, track, (b + CAST(track[1] AS INTEGER) + 2 * CAST(track[3] AS INTEGER)) % 3 AS w FROM (SELECT DISTINCT track FROM qs), range(0, 6) AS g(b)),
-bc AS (SELECT g.b, g.tau, coalesce(sum(w.w * u.n), 0) AS C FROM (SELECT b, tau FROM grid, range(0, 6) AS x(b)) g LEFT JOIN ub u ON u.tau = g.tau LEFT JOIN uw w ON w.b = g.b AND w.unit = u.unit GROUP BY ALL),
-bd AS (SELECT b, tau, row_number() OVER v AS j, max(C) OVER v AS E, (SELECT coalesce(sum(t.w), 0) FROM qs q JOIN tw t ON t.track = q.track AND t.b = bc.b WHERE q.q >= bc.tau) AS detp,
-  (SELECT coalesce(sum(t.w), 0) FROM zs z JOIN tw t ON t.track = z.track AND t.b = bc.b WHERE z.z >= bc.tau) AS dett FROM bc WINDOW v AS (PARTITION BY b ORDER BY tau DESC)),
+bs AS (SELECT w.b, u.tau, sum(w.w * u.d) AS d FROM unit_deltas u JOIN uw w ON w.unit = u.unit GROUP BY ALL),
+bp AS (SELECT t.b, q.q AS tau, sum(t.w) AS d FROM qs q JOIN tw t USING (track) GROUP BY ALL),
+bz AS (SELECT t.b, z.z AS tau, sum(t.w) AS d FROM zs z JOIN tw t USING (track) GROUP BY ALL),
+bc AS (SELECT g.b, g.tau, coalesce(sum(s.d) OVER w, 0) AS C, coalesce(sum(p.d) OVER w, 0) AS detp, coalesce(sum(z.d) OVER w, 0) AS dett FROM (SELECT x.b, tau FROM grid, range(0, 6) AS x(b)) g
+  LEFT JOIN bs s ON s.b = g.b AND s.tau = g.tau LEFT JOIN bp p ON p.b = g.b AND p.tau = g.tau LEFT JOIN bz z ON z.b = g.b AND z.tau = g.tau WINDOW w AS (PARTITION BY g.b ORDER BY g.tau DESC)),
+bd AS (SELECT b, tau, row_number() OVER v AS j, max(C) OVER v AS E, detp, dett FROM bc WINDOW v AS (PARTITION BY b ORDER BY tau DESC)),
 bn AS (SELECT b, (SELECT sum(w * n) FROM uw WHERE uw.b = x.b) AS nN, (SELECT sum(t.w) FROM qs q JOIN tw t ON t.track = q.track AND t.b = x.b) AS nP, (SELECT nK FROM total) AS nK FROM range(0, 6) AS x(b)),
 br AS (SELECT d.*, n.nN, n.nP, n.nK, lead(E) OVER (PARTITION BY d.b ORDER BY j) AS nextE FROM bd d JOIN bn n ON n.b = d.b),
 bm AS (SELECT CAST(b AS INTEGER) AS b, least(1000 * min(E) FILTER (WHERE 5 * detp >= 4 * nP), 50 * any_value(nN)) / any_value(nN)::DOUBLE AS P1,
@@ -717,14 +740,14 @@ bm AS (SELECT CAST(b AS INTEGER) AS b, least(1000 * min(E) FILTER (WHERE 5 * det
   sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN THEN detp * 1000 * (nextE - E) ELSE detp * (10 * nN - 1000 * E) END) / (10.0::DOUBLE * any_value(nP) * any_value(nN)) AS P3 FROM br GROUP BY b)"""
 
 
-@query("brute phased frames grid qs zs total", BOOT_SQL + " SELECT b, round(P1, 9) AS p1, round(P2, 9) AS p2, round(P3, 9) AS p3 FROM bm")
+@query("seg_runs phased frames grid qs zs total", BOOT_SQL + " SELECT b, round(P1, 9) AS p1, round(P2, 9) AS p2, round(P3, 9) AS p3 FROM bm")
 def inf_bootstrap(spark, sf_dir):
     steps, weights, sizes, q, tracks = bootstrap_parts(spark, sf_dir)
     got = inference.replicate_metrics(steps, "unit", weights, sizes, q, tracks)
     return got.select("b", *(F.round(c, 9).alias(c.lower()) for c in ("P1", "P2", "P3")))
 
 
-@query("brute phased frames grid qs zs total", BOOT_SQL + " SELECT round(quantile_cont(P3, 0.025), 9) AS lo, round(quantile_cont(P3, 0.975), 9) AS hi, 0::BIGINT AS undefined FROM bm")
+@query("seg_runs phased frames grid qs zs total", BOOT_SQL + " SELECT round(quantile_cont(P3, 0.025), 9) AS lo, round(quantile_cont(P3, 0.975), 9) AS hi, 0::BIGINT AS undefined FROM bm")
 def agg_interval(spark, sf_dir):
     steps, weights, sizes, q, tracks = bootstrap_parts(spark, sf_dir)
     got = inference.interval(inference.replicate_metrics(steps, "unit", weights, sizes, q, tracks), "P3")
@@ -870,13 +893,13 @@ def gen_decision_grid(spark, sf_dir):
 
 
 def variant_metrics(spark, sf_dir, w: DataFrame, cap: int = events.CAP, weight=None, sizes=None) -> DataFrame:
-    frames = coarse(kept_layout(spark, sf_dir)[0])
+    frames = kept_layout(spark, sf_dir)[0]
     q = metrics.pass_scores(frames, w)
     return metrics.metrics(metrics.metric_curve(events.steps(frames, cap=cap), q, weight=weight), sizes if sizes is not None else metrics.sizes(frames, w))
 
 
 SUBSET_SQL = """, sub AS ({subset}), sq AS (SELECT * FROM qs SEMI JOIN sub USING (scenario, win)), sz AS (SELECT track, max(q) AS z FROM sq GROUP BY track),
-sg AS (SELECT DISTINCT tau FROM (SELECT score AS tau FROM coarse WHERE normal UNION ALL SELECT q FROM sq UNION ALL SELECT 'Infinity'::DOUBLE)),
+sg AS (SELECT DISTINCT tau FROM (SELECT score AS tau FROM frames WHERE normal UNION ALL SELECT q FROM sq UNION ALL SELECT 'Infinity'::DOUBLE)),
 sc AS (SELECT row_number() OVER v AS j, max(C) OVER v AS E, (SELECT count(*) FROM sq WHERE q >= tau) AS detp, (SELECT count(*) FROM sz WHERE z >= tau) AS dett
   FROM (SELECT sg.tau, c.C FROM sg JOIN counted c ON c.tau = sg.tau) WINDOW v AS (ORDER BY tau DESC)),
 st AS (SELECT nN, (SELECT count(*) FROM sq) AS nP, (SELECT count(*) FROM sz) AS nK FROM total),
@@ -885,37 +908,149 @@ SELECT b.dett AS P2_num, st.nK AS P2_den, (SELECT CAST(sum(CASE WHEN 100 * E > n
 10 * st.nP * st.nN AS P3_den FROM st, (SELECT * FROM sr WHERE 1000 * E <= 2 * nN ORDER BY j DESC LIMIT 1) b"""
 
 
-@query("counted qs total windows", SUBSET_SQL.format(subset="SELECT scenario, s AS win FROM windows WHERE NOT carry"))
+@query("counted frames qs total windows", SUBSET_SQL.format(subset="SELECT scenario, s AS win FROM windows WHERE NOT carry"))
 def spc_without_carry(spark, sf_dir):
     w = windows(T.timeline(spark, sf_dir)).where("not carry")
     return variant_metrics(spark, sf_dir, w).select("P2_num", "P2_den", "P3_num", "P3_den")
 
 
-@query("counted qs total windows", SUBSET_SQL.format(subset="SELECT scenario, s AS win FROM windows WHERE track <> (SELECT track FROM windows GROUP BY track ORDER BY count(*) DESC, track LIMIT 1)"))
+@query("counted frames qs total windows", SUBSET_SQL.format(subset="SELECT scenario, s AS win FROM windows WHERE track <> (SELECT track FROM windows GROUP BY track ORDER BY count(*) DESC, track LIMIT 1)"))
 def spc_without_largest_track(spark, sf_dir):
     w = windows(T.timeline(spark, sf_dir))
     largest = w.groupBy("track").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "track").limit(1).select("track")
     return variant_metrics(spark, sf_dir, w.join(F.broadcast(largest), "track", "left_anti")).select("P2_num", "P2_den", "P3_num", "P3_den")
 
 
-@query("rates qs total", """, wt AS (SELECT track, count(*) AS n FROM qs GROUP BY track), l AS (SELECT 2520 AS unit),
-bw AS (SELECT c.*, (SELECT coalesce(sum(2520 // wt.n), 0) FROM qs JOIN wt USING (track) WHERE qs.q >= c.tau) AS detw FROM rates c)
-SELECT CAST(sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN THEN detw * 1000 * (nextE - E) ELSE detw * (10 * nN - 1000 * E) END) AS BIGINT) AS P3_num, CAST(10 * (SELECT sum(2520 // wt.n * wt.n) FROM wt) * any_value(nN) AS BIGINT) AS P3_den FROM bw""")
+@query("rates qs zs total", """, wt AS (SELECT track, count(*) AS n FROM qs GROUP BY track),
+bw AS (SELECT j, E, nN, nextE, tau FROM rates),
+areas AS (SELECT q.track, q.q, w.n, (SELECT sum(CASE WHEN 100 * E > nN THEN 0 WHEN 100 * nextE <= nN THEN 1000 * (nextE - E) ELSE 10 * nN - 1000 * E END) FROM bw WHERE bw.tau <= q.q) AS area FROM qs q JOIN wt w USING (track))
+SELECT track, CAST(sum(area) AS BIGINT) AS share_num, CAST(10 * any_value(n) * (SELECT nN * nK FROM total) AS BIGINT) AS share_den FROM areas GROUP BY track""")
 def spc_track_balanced(spark, sf_dir):
-    """Passes weigh 2520 over the passes of their track (whole numbers; exact for up to ten passes)."""
+    """Each track's part of the track-balanced P3 as an exact fraction: passes weigh 1 / (passes of their track x tracks)."""
     frames, w = kept_layout(spark, sf_dir)
-    frames = coarse(frames)
-    n = w.groupBy("track").agg(F.count(F.lit(1)).alias("n"))
-    q = metrics.pass_scores(frames, w).join(n, "track").withColumn("weight", F.call_function("div", F.lit(2520).cast("long"), F.col("n")))
-    total = q.agg(F.sum("weight").alias("nP"), F.countDistinct("track").alias("nK"))
-    sizes = frames.agg(F.sum(F.col("normal").cast("long")).alias("nN")).join(F.broadcast(total))
-    got = metrics.metrics(metrics.metric_curve(events.steps(frames), q, weight=F.col("weight")), sizes)
-    return got.select("P3_num", "P3_den")
+    return metrics.track_shares(metrics.metric_curve(events.steps(frames), metrics.pass_scores(frames, w)), metrics.pass_scores(frames, w), metrics.sizes(frames, w))
+
 
+# -- end to end: maps of two rows and eight columns, a map's pixel being twelve of the image
 
-@query("timeline", "SELECT scenario, frame, k5, k10, k20 FROM (SELECT scenario, frame, least(5, frame) AS k5, least(10, frame) AS k10, least(20, frame) AS k20 FROM timeline)")
+
+MAP_HEIGHT, MAP_WIDTH, PRIOR, SCALE, TAU_R = 2, 8, 0.25, 12.0, 0.4
+
+
+def frame_maps(spark, sf_dir, frames: DataFrame) -> DataFrame:
+    """A map for each frame: the first values of some vector."""
+    v = T.table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, MAP_HEIGHT * MAP_WIDTH).alias("map"))
+    n = v.agg(F.count(F.lit(1)).alias("n"))
+    named = frames.select("scenario", "frame").join(F.broadcast(n)).withColumn("vec_id", F.pmod(F.col("scenario") * 7919 + F.col("frame") * 31, F.col("n")))  # one row
+    return named.join(v, "vec_id").select("scenario", "frame", "map")
+
+
+def pilot_parts(spark, sf_dir, **motion_options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores of all variants to six places, layout, windows)."""
+    frames = durable(T.timeline(spark, sf_dir), "timeline")
+    moved = durable(pilot.motion_of(frames, TAU_R, SCALE, **motion_options), "moved")
+    place, w = pilot.layout_of(frames, moved)
+    scores = pilot.variant_scores(frame_maps(spark, sf_dir, frames), moved, MAP_HEIGHT, MAP_WIDTH, PRIOR)
+    return scores.withColumn("score", F.round("score", 6)), place, w
+
+
+# sums of displacements are over at most 24 frames; a term's map is moved by whole cells
+PILOT_SQL = f""", mus AS (SELECT m.scenario, m.frame, m."K", m."K" >= 2 AND EXISTS (SELECT 1 FROM walk u WHERE u.scenario = m.scenario AND u.status = 0 AND u.frame BETWEEN greatest(1, m.frame - m."K" + 2) AND m.frame) AS mu,
+  m."K" >= 2 AND EXISTS (SELECT 1 FROM oracled u WHERE u.scenario = m.scenario AND u.dx_oracle IS NULL AND u.frame BETWEEN greatest(1, m.frame - m."K" + 2) AND m.frame) AS mo FROM moved m),
+steps_ AS (SELECT s.*, i FROM mus s, range(0, 25) AS g(i) WHERE i < s."K"),
+pairs AS (SELECT s.scenario, s.frame, s.i, o.dx_used, o.dx_oracle, o.frame AS fr FROM steps_ s JOIN oracled o ON o.scenario = s.scenario AND o.frame BETWEEN s.frame - s.i + 1 AND s.frame),
+us AS (SELECT scenario, frame, i, floor(-sum(dx_used / {SCALE} / 8.0::DOUBLE ORDER BY fr) + 0.5::DOUBLE) AS u, floor(-sum(dx_oracle / {SCALE} / 8.0::DOUBLE ORDER BY fr) + 0.5::DOUBLE) AS uo FROM pairs GROUP BY ALL),
+plan AS (SELECT s.*, coalesce(u.u, 0) AS u, coalesce(u.uo, 0) AS uo FROM steps_ s LEFT JOIN us u ON u.scenario = s.scenario AND u.frame = s.frame AND u.i = s.i),
+terms AS (
+  SELECT scenario, frame, 'V2' AS variant, frame - i AS src, 0 AS shift, "K" FROM plan
+  UNION ALL SELECT scenario, frame, 'V4', frame - i, CASE WHEN mu THEN 0 ELSE u END, "K" FROM plan
+  UNION ALL SELECT scenario, frame, 'REV', frame - i, CASE WHEN mu THEN 0 ELSE -u END, "K" FROM plan
+  UNION ALL SELECT scenario, frame, 'LAG', frame - CASE WHEN mu OR i = 0 OR "K" <= 2 THEN i ELSE i % ("K" - 1) + 1 END, CASE WHEN mu THEN 0 ELSE u END, "K" FROM plan
+  UNION ALL SELECT scenario, frame, 'ORA', frame - i, CASE WHEN mo THEN 0 ELSE uo END, "K" FROM plan),
+fmap AS (SELECT t.scenario, t.frame, e.embedding[1:{MAP_HEIGHT * MAP_WIDTH}] AS m FROM timeline t JOIN embeddings e ON e.vec_id = (t.scenario * 7919 + t.frame * 31) % (SELECT count(*) FROM embeddings)),
+cellsums AS (SELECT t.variant, t.scenario, t.frame, c.cell, CAST(sum(CASE WHEN c.cell % {MAP_WIDTH} + t.shift BETWEEN 0 AND {MAP_WIDTH - 1} THEN CAST(f.m[CAST(c.cell + t.shift + 1 AS BIGINT)] AS DOUBLE) ELSE {PRIOR}::DOUBLE END) / any_value(t."K") AS FLOAT) AS v
+  FROM terms t JOIN fmap f ON f.scenario = t.scenario AND f.frame = t.src, range(0, {MAP_HEIGHT * MAP_WIDTH}) AS c(cell) GROUP BY t.variant, t.scenario, t.frame, c.cell),
+tops AS (SELECT scenario, frame, CAST(list_max(m) AS DOUBLE) AS s FROM fmap),
+scored AS (SELECT variant, scenario, frame, round(CAST(max(v) AS DOUBLE), 6) AS score FROM cellsums GROUP BY ALL
+  UNION ALL SELECT 'V0', scenario, frame, round(s, 6) FROM tops
+  UNION ALL SELECT 'V1', m.scenario, m.frame, round(sum(t.s) / any_value(m."K"), 6) FROM moved m JOIN tops t ON t.scenario = m.scenario AND t.frame BETWEEN m.frame - m."K" + 1 AND m.frame GROUP BY m.scenario, m.frame),
+rf AS (SELECT s.variant AS b, s.scenario, s.frame, s.score, f.normal, f.seg, f.win, f.track FROM scored s JOIN frames f USING (scenario, frame)),
+"""
+ADAPTIVE = {"lengths": ("moved", 'SELECT scenario, frame, "K" AS K FROM moved')}
+
+
+@query("moved oracled walk frames windows total", PILOT_SQL + BY_SQL + """
+SELECT b AS variant, CAST(least(1000 * min(E) FILTER (WHERE 5 * detp >= 4 * nP), 50 * any_value(nN)) AS BIGINT) AS P1_num, any_value(nN) AS P1_den, 1000 * min(E) FILTER (WHERE 5 * detp >= 4 * nP) > 50 * any_value(nN) AS P1_censored,
+CAST(max(dett) FILTER (WHERE 1000 * E <= 2 * nN) AS BIGINT) AS P2_num, any_value(nK) AS P2_den, (SELECT P3_num FROM rp WHERE rp.b = rr.b) AS P3_num, 10 * any_value(nP) * any_value(nN) AS P3_den,
+20 * max(detp) FILTER (WHERE 1000 * E <= 2 * nN) >= 19 * any_value(nP) AS saturated FROM rr GROUP BY b""", **ADAPTIVE)
+def e2e_metrics(spark, sf_dir):
+    """Raw frames to motion, adaptive windows, seven variants and their metrics."""
+    return pilot.evaluate(*pilot_parts(spark, sf_dir))[0]
+
+
+@query("moved oracled walk frames windows total", PILOT_SQL + BY_SQL + """,
+vc AS (SELECT b, scenario, seg, tau, CAST(sum((e - a + 25) // 25) AS BIGINT) AS c FROM rs GROUP BY ALL),
+vd AS (SELECT b, tau, sum(d) AS d FROM (SELECT b, tau, c - lag(c, 1, 0) OVER (PARTITION BY b, scenario, seg ORDER BY tau DESC) AS d FROM vc WHERE scenario = 3) GROUP BY ALL UNION ALL SELECT DISTINCT b, 'Infinity'::DOUBLE, 0 FROM rf),
+ve AS (SELECT b, tau, max(C) OVER (PARTITION BY b ORDER BY tau DESC) AS E FROM (SELECT b, tau, sum(d) OVER (PARTITION BY b ORDER BY tau DESC) AS C FROM vd)),
+th AS (SELECT b, min(tau) AS threshold FROM ve WHERE 1000 * E <= 2 * (SELECT count(*) FROM frames WHERE normal AND scenario = 3) GROUP BY b),
+tc AS (SELECT b, scenario, seg, min(tau) AS tau FROM vc JOIN th USING (b) WHERE tau >= threshold AND scenario <> 3 GROUP BY ALL)
+SELECT th.b AS variant, threshold, CAST(coalesce((SELECT sum(c) FROM vc JOIN tc USING (b, scenario, seg, tau) WHERE vc.b = th.b), 0) AS BIGINT) AS events,
+(SELECT count(*) FROM rq WHERE rq.b = th.b AND rq.scenario <> 3 AND rq.q >= threshold) AS passes, (SELECT count(DISTINCT track) FROM rq WHERE rq.b = th.b AND rq.scenario <> 3 AND rq.q >= threshold) AS tracks,
+(SELECT count(*) FROM frames WHERE normal AND scenario <> 3) AS nN FROM th""", **ADAPTIVE)
+def e2e_deployment(spark, sf_dir):
+    """Thresholds of the seven variants on one scenario without its passes, applied to the others."""
+    scores, place, w = pilot_parts(spark, sf_dir)
+    return pilot.deployment(pilot.evaluate(scores, place, w)[1], F.col("scenario") == 3)
+
+
+SENSITIVITY = {"k5": {"fixed_length": 5}, "k10": {"fixed_length": 10}, "k20": {"fixed_length": 20}, "k_half": {"factor": 0.5}, "k_double": {"factor": 2.0}, "shift_half": {"shift_factor": 0.5}, "shift_more": {"shift_factor": 1.5}}
+
+
+@query("moved walk", """SELECT x.scenario, x.frame, least(5, x.frame) AS k5, least(10, x.frame) AS k10, least(20, x.frame) AS k20, CAST(least(greatest(floor(k_full * 0.5::DOUBLE + 0.5::DOUBLE), 1), 25, x.frame) AS INTEGER) AS k_half,
+CAST(least(greatest(floor(k_full * 2.0::DOUBLE + 0.5::DOUBLE), 1), 25, x.frame) AS INTEGER) AS k_double, "K" AS shift_half, "K" AS shift_more FROM moved x""")
 def spc_fixed_lengths(spark, sf_dir):
-    return T.timeline(spark, sf_dir).select("scenario", "frame", *(F.least(F.lit(k), "frame").alias(f"k{k}") for k in (5, 10, 20)))
+    """Window lengths of each sensitivity analysis."""
+    frames = durable(T.timeline(spark, sf_dir), "timeline")
+    out = None
+    for name, options in SENSITIVITY.items():
+        one = pilot.motion_of(frames, TAU_R, SCALE, **options).select("scenario", "frame", F.col("K").alias(name))
+        out = one if out is None else out.join(one, ["scenario", "frame"])
+    return out
+
+
+@query()
+def spc_sensitivity(spark, sf_dir):
+    """Metrics of all variants for each window length and scale of shifts of the sensitivity analyses."""
+    out = None
+    for name, options in SENSITIVITY.items():
+        one = pilot.evaluate(*pilot_parts(spark, sf_dir, **options))[0].withColumn("analysis", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("counted frames qs total windows timeline", SUBSET_SQL.format(subset="SELECT w.scenario, w.s AS win FROM windows w WHERE EXISTS (SELECT 1 FROM timeline t WHERE t.scenario = w.scenario AND t.frame BETWEEN w.s AND w.e AND t.label = 4 AND t.frame % 2 = 0)"))
+def spc_label_subset(spark, sf_dir):
+    """P2 and P3 of the passes that show label 4 (on an even frame, as all defects of this timeline have it)."""
+    frames = T.timeline(spark, sf_dir).withColumn("label", F.when((F.col("label") == 4) & (F.col("frame") % 2 == 1), 5).otherwise(F.col("label")))
+    w = intervals.with_label(windows(T.timeline(spark, sf_dir)), frames, 4)
+    return variant_metrics(spark, sf_dir, w).select("P2_num", "P2_den", "P3_num", "P3_den")
+
+
+@query()
+def spc_block_intervals(spark, sf_dir):
+    """The same intervals with fixed blocks of 600 frames in place of 1,200."""
+    scores, place, w = pilot_parts(spark, sf_dir)
+    frames = pilot.evaluate(scores, place, w)[1].where(F.col("variant").isin("V1", "V2", "V4", "REV", "LAG"))
+    units = intervals.blocks(phased(spark, sf_dir, place).drop("block"), 600)
+    return inference.fold_intervals(frames, units.select("scenario", "frame", "phase_bin", "block")).where("scheme = 'B'").drop("LB9")
+
+
+@query()
+def inf_fold_intervals(spark, sf_dir):
+    """Intervals of the fold's differences and its lower bound, from 2,000 drawn replicates of two schemes."""
+    scores, place, w = pilot_parts(spark, sf_dir)
+    frames = pilot.evaluate(scores, place, w)[1].where(F.col("variant").isin("V1", "V2", "V4", "REV", "LAG"))
+    return inference.fold_intervals(frames, phased(spark, sf_dir, place).select("scenario", "frame", "phase_bin", "block"))
 
 
 @query("held", """, v AS (SELECT scenario, win, track, score, avg(score) OVER (PARTITION BY scenario ORDER BY frame ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS v1 FROM held),
@@ -933,21 +1068,57 @@ def spc_mcnemar(spark, sf_dir):
     return both.withColumn("p", F.round(test("b", "c"), 9))
 
 
-@query()
-def spc_event_classes(spark, sf_dir):
-    """Classes of alarm runs on the maps, and how many of each."""
-    import numpy as np
-
+def event_classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Classified alarm runs of the maps, and the maps."""
     from loomframe.operators import decompose
 
     rows = maps(spark, sf_dir)
-    base = temporal.baselines(as_cells(spark, sf_dir), 8, 8, ["frame"]).orderBy("row", "col").collect()  # one map
-    b1, b3 = (np.array([r[c] for r in base]).reshape(8, 8) for c in ("b1", "b3"))
+    base = durable(decompose.one_map(temporal.baselines(as_cells(spark, sf_dir), 8, 8, ["frame"]), 8), "base")
     frames = metrics.frame_scores(rows).withColumn("normal", F.lit(True)).withColumn("seg", F.lit(0).cast("long"))
-    runs = events.runs_at(frames, 0.35).withColumn("K", F.lit(7))
+    runs = events.runs_at(frames, EVENT_TAU).withColumn("K", F.lit(7))
     moves = rows.withColumn("move", F.when(F.pmod("frame", F.lit(9)) != 0, F.lit(-1.0)))
-    got = decompose.classes(runs, moves, 8, 8, b1, b3, 0.35)
-    return got.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    got = decompose.classes(runs, moves, base, 8, 8, EVENT_TAU, decompose.Limits(null_row_offset=3))
+    return got.join(runs.select("scenario", "a", "b"), ["scenario", "a"]), rows
+
+
+EVENT_TAU = 0.35
+# the same cascade; the 3 x 3 maxima are joined for the cells of the path
+CLASSES_SQL = f""", peaks AS (SELECT frame, max(value) AS score, quantile_cont(value, 0.5) AS med FROM cells GROUP BY frame),
+runs AS (SELECT min(frame) AS a, max(frame) AS b FROM (SELECT frame, sum(o) OVER (ORDER BY frame) AS run FROM (SELECT frame, CASE WHEN frame - lag(frame) OVER (ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS o FROM peaks WHERE score >= {EVENT_TAU}::DOUBLE)) GROUP BY run),
+m3 AS (SELECT x.frame, x."row", x.col, max(y.value) AS value FROM cells x JOIN cells y ON x.frame = y.frame AND abs(x."row" - y."row") <= 1 AND abs(x.col - y.col) <= 1 GROUP BY ALL),
+b1 AS (SELECT "row", col, avg(value) AS v FROM cells GROUP BY ALL), b3 AS (SELECT "row", col, avg(value) AS v FROM m3 GROUP BY ALL), lv AS (SELECT quantile_cont(v, 0.5) AS level FROM b1),
+place AS (SELECT r.a, r.b, c."row" AS y, c.col AS x0, c.value AS top, p.med FROM runs r JOIN peaks p ON p.frame = r.a JOIN cells c ON c.frame = r.a AND c.value = p.score QUALIFY row_number() OVER (PARTITION BY r.a ORDER BY c."row", c.col) = 1),
+top AS (SELECT p.*, p.top - b1.v AS peak, lv.level, p.top - (p.med - lv.level) < {EVENT_TAU}::DOUBLE AS driven FROM place p JOIN b1 ON b1."row" = p.y AND b1.col = p.x0, lv),
+path AS (SELECT t.a, t.y, t.x0, t.peak, j, t.x0 - j AS x FROM top t, range(1, 8) AS g(j) WHERE t.a + j <= (SELECT max(frame) FROM cells) AND t.x0 - j >= 0
+  AND NOT EXISTS (SELECT 1 FROM range(1, 8) AS h(i) WHERE i <= j AND (t.a + i) % 9 = 0)),
+rise AS (SELECT p.a, p.j, p.x, p.x0, (m.value - b.v) / p.peak AS moving, (f.value - fb.v) / p.peak AS fixed,
+  (SELECT avg((n.value - nb.v) / p.peak) FROM m3 n JOIN b3 nb ON nb."row" = n."row" AND nb.col = n.col WHERE n.frame = p.a + p.j AND n.col = p.x AND n."row" IN (p.y - 3, p.y + 3)) AS beside
+  FROM path p JOIN m3 m ON m.frame = p.a + p.j AND m."row" = p.y AND m.col = p.x JOIN b3 b ON b."row" = p.y AND b.col = p.x
+  JOIN m3 f ON f.frame = p.a + p.j AND f."row" = p.y AND f.col = p.x0 JOIN b3 fb ON fb."row" = p.y AND fb.col = p.x0),
+facts AS (SELECT a, count(*) AS n, bool_and(abs(x - x0) <= 1) AS still, quantile_cont(moving, 0.5) AS moving, quantile_cont(fixed, 0.5) AS fixed, quantile_cont(beside, 0.5) AS beside FROM rise GROUP BY a),
+classed AS (SELECT t.a, t.b, CASE WHEN driven THEN 'global-driven' WHEN coalesce(n, 0) < 3 OR peak < 0.1::DOUBLE * ({EVENT_TAU}::DOUBLE - level) THEN 'ambiguous-geometry' WHEN still THEN 'ambiguous-coincident' WHEN beside >= 0.25 THEN 'diffuse'
+  WHEN fixed >= 0.5 AND fixed - beside >= 0.25 AND fixed > moving THEN 'camera-fixed' WHEN moving >= 0.5 AND moving - beside >= 0.25 THEN 'persistent-local' WHEN moving < 0.25 AND fixed < 0.25 THEN 'transient' ELSE 'ambiguous' END AS class
+  FROM top t LEFT JOIN facts f ON f.a = t.a)"""
+
+
+@query("cells", CLASSES_SQL + " SELECT class, count(*) AS n FROM classed GROUP BY class")
+def spc_event_classes(spark, sf_dir):
+    """Classes of alarm runs on the maps, and how many of each."""
+    return event_classes(spark, sf_dir)[0].groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("cells", CLASSES_SQL + """, v AS (SELECT frame, (score + coalesce(lag(score) OVER (ORDER BY frame), score)) / 2 AS score FROM peaks),
+other AS (SELECT min(frame) AS a, max(frame) AS b FROM (SELECT frame, sum(o) OVER (ORDER BY frame) AS run FROM (SELECT frame, CASE WHEN frame - lag(frame) OVER (ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS o FROM v WHERE score >= 0.45::DOUBLE)) GROUP BY run)
+SELECT class, count(*) AS n, CAST(count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.a <= classed.b AND o.b >= classed.a)) AS BIGINT) AS removed FROM classed GROUP BY class""")
+def spc_removal_rates(spark, sf_dir):
+    """Of each class, the events that no run of the mean of two frames touches."""
+    from loomframe.operators import decompose
+
+    found, rows = event_classes(spark, sf_dir)
+    w = Window.partitionBy("scenario").orderBy("frame")
+    mean = metrics.frame_scores(rows).withColumn("score", (F.col("score") + F.coalesce(F.lag("score").over(w), F.col("score"))) / 2)
+    other = events.runs_at(mean.withColumn("normal", F.lit(True)).withColumn("seg", F.lit(0).cast("long")), 0.45)
+    return decompose.removal(found, other)
 
 
 # -- generators and streaming
@@ -966,8 +1137,8 @@ def gen_motion_calibration(spark, sf_dir):
 
 @query("timeline", "SELECT scenario, CAST(frame AS BIGINT) AS frame, round(avg(score) OVER (PARTITION BY scenario ORDER BY frame ROWS BETWEEN 8 PRECEDING AND CURRENT ROW), 6) AS v FROM timeline")
 def gen_moving_average(spark, sf_dir):
-    w = Window.partitionBy("scenario").orderBy("frame").rowsBetween(-8, 0)
-    return T.timeline(spark, sf_dir).select("scenario", F.col("frame").cast("long").alias("frame"), F.round(F.avg("score").over(w), 6).alias("v"))
+    rows = pilot.trailing_mean_by_scenario(T.timeline(spark, sf_dir), 9)
+    return rows.select("scenario", F.col("frame").cast("long").alias("frame"), F.round("v", 6).alias("v"))
 
 
 STREAM_SQL = """SELECT m.scenario, m.frame, m.status, m.dx_used, m.k_full, m."K" AS k_used, t.score AS v0, round((SELECT sum(x.score) FROM timeline x WHERE x.scenario = m.scenario AND x.frame BETWEEN m.frame - m."K" + 1 AND m.frame) / m."K", 6) AS v1
@@ -1019,6 +1190,20 @@ def acc_array_error(spark, sf_dir):
     return acceptance.array_error(other, v, ["vec_id"], "x").select(F.round("rel", 9).alias("rel"))
 
 
+@query("cells", """SELECT name, round(rel, 9) AS rel, rel <= 0.0001::DOUBLE AS agrees FROM (
+SELECT 'mu0' AS name, abs(avg(v) - avg(value)) / abs(avg(value)) AS rel FROM (SELECT value, value * CASE WHEN frame % 2 = 0 THEN 1.00001::DOUBLE ELSE 1.0::DOUBLE END AS v FROM cells)
+UNION ALL SELECT 'tau_cell', abs(quantile_cont(v, 0.999) - quantile_cont(value, 0.999)) / abs(quantile_cont(value, 0.999)) FROM (SELECT value, value * CASE WHEN frame % 2 = 0 THEN 1.00001::DOUBLE ELSE 1.0::DOUBLE END AS v FROM cells))""")
+def acc_constants(spark, sf_dir):
+    """Constants of maps that are a little larger in every second frame."""
+    from loomframe.operators import acceptance
+
+    own = maps(spark, sf_dir).withColumn("map", F.col("map").cast("array<double>"))
+    more = F.when(F.pmod("frame", F.lit(2)) == 0, F.lit(1.00001)).otherwise(F.lit(1.0))
+    other = own.withColumn("map", F.transform("map", lambda x: x * more))
+    got = acceptance.constants_agree(temporal.map_constants(other), temporal.map_constants(own))
+    return got.withColumn("rel", F.round("rel", 9))
+
+
 @query("", "SELECT count(*) AS rows, count(*) FILTER (WHERE vec_id % 9 = 0) AS different FROM embeddings")
 def acc_identical(spark, sf_dir):
     from loomframe.operators import acceptance
@@ -1036,10 +1221,10 @@ def agg_status_rollup(spark, sf_dir):
     return acceptance.status_rollup(o, ("O", "F", "P"))
 
 
-@query("counted qs total", "SELECT max(C) FILTER (WHERE tau = 40) AS events, (SELECT count(*) FROM qs WHERE q >= 40) AS passes, (SELECT count(DISTINCT track) FROM qs WHERE q >= 40) AS tracks, any_value(nN) AS \"nN\", any_value(nP) AS \"nP\", any_value(nK) AS \"nK\" FROM counted, total")
+@query("seg_runs frames qs total", "SELECT (SELECT CAST(sum((b - a + 25) // 25) AS BIGINT) FROM (SELECT r.* FROM seg_runs r JOIN (SELECT scenario, seg, min(score) AS tau FROM frames WHERE normal AND score >= 40 GROUP BY scenario, seg) m USING (scenario, seg, tau))) AS events, (SELECT count(*) FROM qs WHERE q >= 40) AS passes, (SELECT count(DISTINCT track) FROM qs WHERE q >= 40) AS tracks, nN, nP, nK FROM total")
 def spc_deployment_table(spark, sf_dir):
-    frames, w = layout(spark, sf_dir)
-    return metrics.at_threshold(coarse(frames), w, 40.0)
+    frames, w = kept_layout(spark, sf_dir)
+    return metrics.at_threshold(frames, w, 40.0)
 
 
 @query("", STATES_SQL.split("e AS (SELECT", 1)[0].rstrip(", \n") + " SELECT l_orderkey, l_linenumber, CASE WHEN g >= 20 THEN CAST(round(1000000000::DOUBLE * (n // 43 % 40 - 10) / g) AS BIGINT) END AS share9 FROM d")

@@ -26,7 +26,6 @@ PARTS: dict[str, tuple[str, str]] = {
     "held": ("timeline windows", """SELECT t.*, w.s AS win, w.track, (t.label IN (1, 2) AND w.s IS NULL) AS normal FROM timeline t
         LEFT JOIN windows w ON w.scenario = t.scenario AND t.frame BETWEEN w.lo AND w.hi"""),
     "frames": ("held", "SELECT *, CAST(sum(CASE WHEN normal THEN 0 ELSE 1 END) OVER (PARTITION BY scenario ORDER BY frame) AS BIGINT) AS seg FROM held"),
-    "coarse": ("frames", "SELECT * REPLACE (floor(score / 8) * 8 AS score) FROM frames"),
     "consistent": ("timeline", """SELECT *, abs(dx) <= 400 AND abs(dy) <= 16 AND (n < 5 OR abs(dx - med) <= greatest(8.0::DOUBLE, 0.2::DOUBLE * abs(med))) AS consistent FROM (
         SELECT *, quantile_cont(dx, 0.5) OVER w AS med, count(dx) OVER w AS n FROM timeline WHERE has_est
         WINDOW w AS (PARTITION BY scenario ORDER BY frame ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING))"""),
@@ -73,31 +72,38 @@ PARTS: dict[str, tuple[str, str]] = {
           LEFT JOIN chosen c ON c.scenario = t.scenario AND c.taken GROUP BY t.scenario, t.frame) x USING (scenario, frame)"""),
     "cells": ("", """SELECT vec_id + 1 AS frame, CAST((i - 1) // 8 AS INTEGER) AS "row", CAST((i - 1) % 8 AS INTEGER) AS col, CAST(embedding[i] AS DOUBLE) AS value
         FROM embeddings, range(1, 65) AS g(i)"""),
-    "grid": ("coarse windows", """SELECT DISTINCT tau FROM (SELECT score AS tau FROM coarse WHERE normal
-        UNION ALL SELECT max(score) FROM coarse WHERE win IS NOT NULL GROUP BY scenario, win) UNION ALL SELECT 'Infinity'::DOUBLE"""),
-    "brute": ("coarse grid", """SELECT tau, scenario, min(frame) AS a, max(frame) AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY tau, scenario ORDER BY frame) AS run FROM (
-        SELECT g.tau, c.scenario, c.frame, CASE WHEN c.frame - lag(c.frame) OVER w <= 3 AND c.seg = lag(c.seg) OVER w THEN 0 ELSE 1 END AS opens
-        FROM grid g JOIN coarse c ON c.normal AND c.score >= g.tau WINDOW w AS (PARTITION BY g.tau, c.scenario ORDER BY c.frame))) GROUP BY tau, scenario, run"""),
-    "counted": ("grid brute", "SELECT g.tau, CAST(coalesce(sum((b.b - b.a + 25) // 25), 0) AS BIGINT) AS C, count(b.a) AS U FROM grid g LEFT JOIN brute b ON b.tau = g.tau GROUP BY g.tau"),
-    "qs": ("coarse", "SELECT scenario, win, track, max(score) AS q FROM coarse WHERE win IS NOT NULL GROUP BY scenario, win, track"),
+    "grid": ("frames", """SELECT DISTINCT tau FROM (SELECT score AS tau FROM frames WHERE normal
+        UNION ALL SELECT max(score) FROM frames WHERE win IS NOT NULL GROUP BY scenario, win) UNION ALL SELECT 'Infinity'::DOUBLE"""),
+    # no run crosses a frame outside the normal set, so runs are found for each segment at each of its own scores
+    "seg_runs": ("frames", """SELECT scenario, seg, tau, min(frame) AS a, max(frame) AS b FROM (SELECT *, sum(opens) OVER (PARTITION BY scenario, seg, tau ORDER BY frame) AS run FROM (
+        SELECT g.tau, c.scenario, c.seg, c.frame, CASE WHEN c.frame - lag(c.frame) OVER w <= 3 THEN 0 ELSE 1 END AS opens
+        FROM (SELECT DISTINCT scenario, seg, score AS tau FROM frames WHERE normal) g JOIN frames c ON c.normal AND c.scenario = g.scenario AND c.seg = g.seg AND c.score >= g.tau
+        WINDOW w AS (PARTITION BY g.scenario, g.seg, g.tau ORDER BY c.frame))) GROUP BY scenario, seg, tau, run"""),
+    "seg_counts": ("seg_runs", "SELECT scenario, seg, tau, sum((b - a + 25) // 25) AS c, count(*) AS u FROM seg_runs GROUP BY scenario, seg, tau"),
+    "deltas": ("seg_counts", """SELECT tau, sum(dc) AS dc, sum(du) AS du FROM (SELECT tau, c - lag(c, 1, 0) OVER w AS dc, u - lag(u, 1, 0) OVER w AS du FROM seg_counts
+        WINDOW w AS (PARTITION BY scenario, seg ORDER BY tau DESC)) GROUP BY tau"""),
+    "counted": ("grid deltas", """SELECT g.tau, CAST(coalesce(sum(d.dc) OVER w, 0) AS BIGINT) AS C, CAST(coalesce(sum(d.du) OVER w, 0) AS BIGINT) AS U FROM grid g LEFT JOIN deltas d ON d.tau = g.tau
+        WINDOW w AS (ORDER BY g.tau DESC)"""),
+    "qs": ("frames", "SELECT scenario, win, track, max(score) AS q FROM frames WHERE win IS NOT NULL GROUP BY scenario, win, track"),
     "zs": ("qs", "SELECT track, max(q) AS z FROM qs GROUP BY track"),
     "curve": ("counted qs zs", """SELECT row_number() OVER (ORDER BY tau DESC) - 1 AS j, tau, C, max(C) OVER (ORDER BY tau DESC) AS E,
         (SELECT count(*) FROM qs WHERE q >= tau) AS detp, (SELECT count(*) FROM zs WHERE z >= tau) AS dett FROM counted"""),
-    "total": ("coarse windows", "SELECT (SELECT count(*) FROM coarse WHERE normal) AS nN, (SELECT count(*) FROM windows) AS nP, (SELECT count(DISTINCT track) FROM windows) AS nK"),
+    "total": ("frames windows", "SELECT (SELECT count(*) FROM frames WHERE normal) AS nN, (SELECT count(*) FROM windows) AS nP, (SELECT count(DISTINCT track) FROM windows) AS nK"),
     "rates": ("curve total", """SELECT c.*, t.*, lead(E) OVER (ORDER BY j) AS nextE FROM curve c, total t"""),
 }
 
 
-def with_parts(names: str, body: str) -> str:
-    """The query with all expressions it needs, in order."""
+def with_parts(names: str, body: str, **instead: tuple[str, str]) -> str:
+    """The query with all expressions it needs, in order; ``instead`` replaces some of them."""
+    parts = PARTS | instead
     done: list[str] = []
 
     def add(name: str) -> None:
         if name not in done:
-            for need in PARTS[name][0].split():
+            for need in parts[name][0].split():
                 add(need)
             done.append(name)
 
     for n in names.split():
         add(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in done) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({parts[n][1]})" for n in done) + "\n" + body
