@@ -53,7 +53,7 @@ PREFIXES = (6, 5, 4)
 DEFAULT_CURVE = (-3.0, 2.5, 0.0)
 WORD = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers the scores of.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 15
 
 
 def tokens(word: str) -> list[str]:
@@ -62,18 +62,23 @@ def tokens(word: str) -> list[str]:
 
 
 class Lookup(dict):
-    """Scores of words, filled as they come."""
+    """Scores of words that begin like a learned token, filled as they come; other words need no memory."""
 
     def __init__(self, scores: dict[str, float], drift: float):
-        self.scores, self.drift = scores, drift
+        self.scores, self.ordinary = scores, -drift
+        self.starts = frozenset(t.rstrip("*")[: min(PREFIXES)] for t in scores)
 
     def __missing__(self, word: str) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        own = next((self.scores[t] for t in tokens(word) if t in self.scores), -self.drift)
+        own = next((self.scores[t] for t in tokens(word) if t in self.scores), self.ordinary)
         self[word] = own
         return own
 
+    def of(self, words: list[str]) -> np.ndarray:
+        starts, ordinary, n = self.starts, self.ordinary, min(PREFIXES)
+        return np.array([self[w] if w[:n] in starts else ordinary for w in words], np.float64)
+
 
 @dataclass
 class Model:
@@ -90,8 +95,7 @@ class Model:
 
     def word_scores(self, text: str) -> np.ndarray:
         """The score of every word in order."""
-        lookup = self.lookup
-        return np.array([lookup[w] for w in WORD.findall(text.lower())], np.float64)
+        return self.lookup.of(WORD.findall(text.lower()))
 
     def segments(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """Maximal segments (first word, word after the last, score) and the number of words."""
