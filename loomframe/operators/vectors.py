@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from loomframe.operators.running import Ordered
 from loomframe.session import durable, release, spread
 
-#: Base vectors that may be broadcast, in bytes of float32.
-BROADCAST_BYTES = 256 << 20
+#: Base vectors of a block, in bytes of float32.
+BLOCK_BYTES = 256 << 20
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -24,12 +24,12 @@ def nearest(queries: DataFrame, base: DataFrame, blocks: int | None = None) -> D
     """(qid, id, d2) of each query's nearest base vector; the smallest id on ties.
 
     Queries (qid, x) and base (id, x) meet in blocks.  The base, a coreset, is
-    cut into so many blocks that each stays below BROADCAST_BYTES; a block is
+    cut into so many blocks that each stays below BLOCK_BYTES; a block is
     sent to the tasks once for each block of queries.
     """
     size = base.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n_bytes = (size["n"] or 0) * (size["d"] or 0) * 4
-    blocks = blocks or max(1, -(-n_bytes // BROADCAST_BYTES))
+    blocks = blocks or max(1, -(-n_bytes // BLOCK_BYTES))
     query_blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = queries.select("qid", "x", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = base.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("bb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -13,6 +13,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,9 +94,27 @@ def durable(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFra
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Durable tables that are written inside are deleted at the end, but for those taken off the list that it gives."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.remove(made)
+        for df in made:
+            release(df)
+
+
 def release(df: DataFrame) -> None:
     """Delete a durable table that no later job reads."""
     path = getattr(df, "_durable_path", None)
