@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomframe.llm import exact_dedup, mixing, packing, queries, simhash, toxicity
 from loomframe.llm.common import fresh
-from loomframe.session import durable, release
+from loomframe.session import durable, release, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        after = durable(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        with scratch() as made:
+            after = durable(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+            made.remove(after)
         release(docs)
         docs = after
     return docs

@@ -822,6 +822,24 @@ def test_pipeline_against_stage_by_stage(spark):
     assert tokens == want
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, repeated rows, clashing names and an empty table go through every stage."""
+    import corpus_pipeline
+
+    now, empty = odd, saved_as(odd.where("false"))
+    for name, stage in corpus_pipeline.STAGES:
+        now, empty = saved_as(stage(spark, now, SF)), saved_as(stage(spark, empty, SF))
+        assert empty.count() == 0
+        if name != "packing":
+            assert now.columns == odd.columns and empty.columns == odd.columns
+        if name == "exact dedup":
+            assert {r.doc_id for r in now.collect()} == {1, 4, 6, 7, 8, 9}
+        if name == "near dedup":
+            # the long text's longer copy goes; all texts without words count as alike
+            assert {r.doc_id for r in now.collect()} == {1, 4, 7, 9}
+    assert {r.doc_id for r in now.collect()} <= {1, 4, 7, 9} and all(r.length & (r.length - 1) == 0 for r in now.collect())
+
+
 def saved_as(df):
     from loomframe.session import durable
 
