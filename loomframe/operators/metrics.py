@@ -37,12 +37,13 @@ def _steps_of(values: DataFrame, value: str, name: str, keys: list[str], weight:
     return counted
 
 
-def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None, weight: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """(keys, j, tau, C, E, detp, dett, next_E) at every threshold, from infinity down.
 
     Each quantity is a step function of the threshold; the steps are united
     and summed from above, so no values are compared with thresholds pair by
-    pair.  ``weight`` counts passes other than by one.
+    pair.  ``weight`` counts passes other than by one.  ``index`` has all keys, if
+    some may have no pass.
     """
     keys = keys or []
     parts = [
@@ -51,7 +52,7 @@ def metric_curve(steps: DataFrame, q: DataFrame, keys: list[str] | None = None,
         _steps_of(track_scores(q, keys), "z", "dt", keys).select(*keys, "tau", F.lit(0).cast("long").alias("dc"), F.lit(0).cast("long").alias("dp"), "dt"),
     ]
     zero = [F.lit(0).cast("long").alias(c) for c in ("dc", "dp", "dt")]
-    top = q.select(*keys, F.lit(INFINITY).alias("tau"), *zero).distinct() if keys else q.sparkSession.range(1).select(F.lit(INFINITY).alias("tau"), *zero)
+    top = (q if index is None else index).select(*keys, F.lit(INFINITY).alias("tau"), *zero).distinct() if keys else q.sparkSession.range(1).select(F.lit(INFINITY).alias("tau"), *zero)
     united = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(top)
     grid = united.groupBy(*keys, "tau").agg(*(F.sum(c).alias(c) for c in ("dc", "dp", "dt")))
     return accumulated(grid, keys)

@@ -137,10 +137,11 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if size <= limit else kept
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, times: int = 1) -> DataFrame:
     """Deal rows by key for grouped Python work.
 
     The explicit number of partitions keeps adaptive execution from merging
-    them by their bytes: few rows can be much work.
+    them by their bytes: few rows can be much work.  ``times`` as many partitions
+    even out few large groups.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
