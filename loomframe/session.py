@@ -73,15 +73,15 @@ def work_dir(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/loomframe/{spark.sparkContext.applicationId}"
     if path not in _swept:
         _swept.add(path)
-        atexit.register(_delete, spark, path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        atexit.register(_delete, target, target.getFileSystem(spark._jsc.hadoopConfiguration()))
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(target, file_system) -> None:
     # at the end of the application its JVM may be gone already
     with contextlib.suppress(Exception):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+        file_system.delete(target, True)
 
 
 def durable(df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
