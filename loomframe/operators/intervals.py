@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.functions.greedy import spaced_places
+from loomframe.operators import chunks
+from loomframe.session import durable
 from loomframe.sources.timeline import ANCHORS, DEFECT, NORMAL
 
 
@@ -51,14 +53,12 @@ def in_window(frames: DataFrame, windows_: DataFrame, *columns: str) -> DataFram
     """Adds the window that holds each frame (lo, null if none) and its other columns.
 
     Windows are disjoint, so the window of a frame is the last one that begins
-    at or before it, if it reaches the frame.  That is one union and one window
-    function: no range join, whatever the number of windows.
+    at or before it, if it reaches the frame.  That is an equi-join and a window
+    function over chunks of frames: no range join, whatever the number of windows.
     """
     names = ["lo", "hi", *columns]
     marks = windows_.select("scenario", F.col("lo").alias("frame"), F.struct(*names).alias("_w"))
-    rows = frames.join(marks, ["scenario", "frame"], "left")
-    w = Window.partitionBy("scenario").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_w", F.last("_w", ignorenulls=True).over(w))
+    rows = chunks.last_mark(frames, marks, "_w")
     hit = F.col("_w").isNotNull() & (F.col("frame") <= F.col("_w.hi"))
     return rows.select(*frames.columns, *(F.when(hit, F.col(f"_w.{c}")).alias(c) for c in ["lo", *columns]))
 
@@ -69,8 +69,8 @@ def normal_set(frames: DataFrame, windows_: DataFrame) -> DataFrame:
     ``seg`` counts the frames outside the normal set so far; no event crosses one.
     """
     rows = in_window(frames, windows_).withColumn("normal", F.col("label").isin(*NORMAL) & F.col("lo").isNull()).drop("lo")
-    upto = Window.partitionBy("scenario").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("seg", F.sum((~F.col("normal")).cast("long")).over(upto))
+    # written, as its chunks are counted before its frames are
+    return chunks.running_count(durable(rows, "normal"), ~F.col("normal"), "seg")
 
 
 def eligible(frames: DataFrame, defects: DataFrame, margin: Column) -> DataFrame:
@@ -115,14 +115,12 @@ def phases(frames: DataFrame, anchors_: DataFrame, period: Column, bin_width: in
     Before the first anchor the first one counts; without anchors the phase
     runs from frame 1.
     """
-    marks = anchors_.select("scenario", F.col("anchor").alias("frame"), F.col("anchor").alias("_a"))
-    rows = frames.withColumn("_p", period).join(marks, ["scenario", "frame"], "left")
-    w = Window.partitionBy("scenario").orderBy("frame")
-    last = F.last("_a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min("_a").over(Window.partitionBy("scenario"))
-    rows = rows.withColumn("anchor", F.coalesce(last, first, F.lit(1)))
+    marks = anchors_.select("scenario", F.col("anchor").alias("frame"), F.struct("anchor").alias("_a"))
+    first = anchors_.groupBy("scenario").agg(F.min("anchor").alias("_first"))
+    rows = chunks.last_mark(frames.withColumn("_p", period), marks, "_a").join(first, "scenario", "left")
+    rows = rows.withColumn("anchor", F.coalesce("_a.anchor", "_first", F.lit(1)))
     phase = F.pmod(F.col("frame") - F.col("anchor"), F.col("_p")).cast("int")
-    return rows.withColumn("phase", phase).withColumn("phase_bin", F.floor(F.col("phase") / bin_width).cast("int")).drop("_p", "_a")
+    return rows.withColumn("phase", phase).withColumn("phase_bin", F.floor(F.col("phase") / bin_width).cast("int")).drop("_p", "_a", "_first")
 
 
 def blocks(frames: DataFrame, length: int = 1200) -> DataFrame:

@@ -12,9 +12,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from loomframe.operators.chunks import with_windows
 from loomframe.session import spread
 from loomframe.sources.config import Motion, Windows
 
@@ -142,25 +143,35 @@ def window_lengths(moved: DataFrame, cfg: Windows = Windows()) -> DataFrame:
     return rows.withColumn("k_full", k).withColumn("K", F.least("k_full", "frame")).drop("reliable", "m", "c")
 
 
-def motion_unknown(rows: DataFrame, known: Column, name: str = "mu") -> DataFrame:
-    """Adds whether any frame in [t - K + 2, t] is not known (K = 1: never)."""
-    last = F.last(F.when(~known, F.col("frame")), ignorenulls=True).over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(name, (F.col("K") >= 2) & F.coalesce(last >= F.greatest(F.lit(1), F.col("frame") - F.col("K") + 2), F.lit(False)))
+def motion_unknown(rows: DataFrame, known: Column, name: str = "mu", longest: int = Windows.k_max) -> DataFrame:
+    """Adds whether any frame in [t - K + 2, t] is not known (K = 1: never); K is at most ``longest``."""
+
+    def add(dealt: DataFrame, w: WindowSpec) -> DataFrame:
+        last = F.last(F.when(~known, F.col("frame")), ignorenulls=True).over(w.rowsBetween(2 - longest, 0))
+        return dealt.withColumn(name, (F.col("K") >= 2) & F.coalesce(last >= F.greatest(F.lit(1), F.col("frame") - F.col("K") + 2), F.lit(False)))
+
+    return with_windows(rows, longest - 2, 0, add)
 
 
 def oracle_dx(moved: DataFrame, cfg: Motion = Motion()) -> DataFrame:
     """Adds the centred median of reliable dx; null with too few values.  Not causal."""
-    w = _by_frame().rowsBetween(-cfg.oracle_halfwidth, cfg.oracle_halfwidth)
+    half = cfg.oracle_halfwidth
     value = F.when(F.col("status") == RELIABLE, F.col("dx_used"))
-    return moved.withColumn("dx_oracle", F.when(F.count(value).over(w) >= cfg.oracle_min_values, F.percentile(value, F.lit(0.5)).over(w)))
+
+    def add(dealt: DataFrame, w: WindowSpec) -> DataFrame:
+        near = w.rowsBetween(-half, half)
+        return dealt.withColumn("dx_oracle", F.when(F.count(value).over(near) >= cfg.oracle_min_values, F.percentile(value, F.lit(0.5)).over(near)))
+
+    return with_windows(moved, half, half, add)
 
 
-def shifts(rows: DataFrame, dx: str = "dx_used", longest: int = 25) -> DataFrame:
+def shifts(rows: DataFrame, dx: str = "dx_used", longest: int = Windows.k_max) -> DataFrame:
     """Adds U: cell shifts (U(t,0)=0 .. U(t,K-1)), each summed in ascending frame order."""
-    u = F.collect_list(F.coalesce(F.col(dx) / 8.0, F.lit(float("nan")))).over(_by_frame().rowsBetween(2 - longest, 0))
+    step = F.coalesce(F.col(dx) / 8.0, F.lit(float("nan")))
     total = lambda i: F.aggregate(F.slice("_u", F.size("_u") - i + 1, i), F.lit(0.0), lambda a, x: a + x)
     one = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.when(~F.isnan(total(i)), F.floor(-total(i) + 0.5)).cast("long"))
-    return rows.withColumn("_u", u).withColumn("U", F.transform(F.sequence(F.lit(0), F.col("K") - 1), one)).drop("_u")
+    held = with_windows(rows, longest - 2, 0, lambda dealt, w: dealt.withColumn("_u", F.collect_list(step).over(w.rowsBetween(2 - longest, 0))))
+    return held.withColumn("U", F.transform(F.sequence(F.lit(0), F.col("K") - 1), one)).drop("_u")
 
 
 def invalid(rows: DataFrame, has_threshold: bool, by: list[str] | None = None) -> DataFrame:

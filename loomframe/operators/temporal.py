@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.functions.scalars import lag_source
+from loomframe.operators.chunks import with_windows
 from loomframe.session import spread
 
 NAMES = ("V0", "V1", "V2", "V4", "REV", "LAG", "ORA")
@@ -22,9 +23,9 @@ CHUNK, LONGEST = 256, 25
 
 def trailing_mean(frames: DataFrame, column: str = "score", longest: int = LONGEST) -> DataFrame:
     """Adds V1, the mean of the last K scores, summed from the newest to the oldest."""
-    held = F.collect_list(column).over(Window.partitionBy("scenario").orderBy("frame").rowsBetween(1 - longest, 0))
+    held = with_windows(frames, longest - 1, 0, lambda dealt, w: dealt.withColumn("_s", F.collect_list(column).over(w.rowsBetween(1 - longest, 0))))
     newest = F.reverse(F.slice("_s", F.size("_s") - F.col("K") + 1, F.col("K")))
-    return frames.withColumn("_s", held).withColumn("V1", F.aggregate(newest, F.lit(0.0), lambda a, x: a + x) / F.col("K")).drop("_s")
+    return held.withColumn("V1", F.aggregate(newest, F.lit(0.0), lambda a, x: a + x) / F.col("K")).drop("_s")
 
 
 def fill_count(u, width: int):
